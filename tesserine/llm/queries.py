@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserine.llm import neighbours
-from tesserine.runtime import load
+from tesserine.llm import confusables, neighbours
+from tesserine.runtime import load, stage
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +22,24 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.most_similar(load(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=64)
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of blocks, chunks and heading paths (of one paper) that look the same but differ in their characters."""
+    blocks, chunks = load(spark, sf_dir, "blocks"), load(spark, sf_dir, "chunks")
+    parts = (
+        confusables.forms(blocks, "block_id", "text").withColumn("field", F.lit("block.text")),
+        confusables.forms(chunks, "chunk_id", "text").withColumn("field", F.lit("chunk.text")),
+        confusables.forms(chunks, "chunk_id", "heading_path", scope="doc_id").withColumn("field", F.lit("chunk.heading_path")),
+    )
+    rows = reduce(DataFrame.unionByName, parts)
+    return confusables.look_alikes(stage(rows, "forms"), "field")
+
+
+def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All chunks with text and heading path in the consistent form."""
+    return confusables.unified(load(spark, sf_dir, "chunks").select("chunk_id", "text", "heading_path").dropDuplicates(["chunk_id"]), "text", "heading_path")
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_unified": p2_unified}
 
 SQL = {
     "p1_found": """
