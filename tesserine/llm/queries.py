@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import confusables, neighbours
+from tesserine.llm import confusables, neighbours, spans, splitting
 from tesserine.runtime import load, stage
 
 
@@ -39,7 +39,29 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.unified(load(spark, sf_dir, "chunks").select("chunk_id", "text", "heading_path").dropDuplicates(["chunk_id"]), "text", "heading_path")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_unified": p2_unified}
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every block and chunk of more than 400 tokens, with 50 tokens of overlap."""
+    blocks = splitting.split_oversized(load(spark, sf_dir, "blocks"), "block_id").withColumn("item_table", F.lit("block"))
+    chunks = splitting.split_oversized(load(spark, sf_dir, "chunks"), "chunk_id").withColumn("item_table", F.lit("chunk"))
+    return blocks.unionByName(chunks)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that come out in pieces."""
+    return p4_pieces(spark, sf_dir).select("item_table", "item_key").distinct()
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document is shared with another document in spans of at least 200 characters."""
+    return spans.shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text", least=200)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with such a span."""
+    return p10_shares(spark, sf_dir).where("shared_chars > 0").select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p1_found": """
