@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import confusables, neighbours, spans, splitting
+from tesserine.llm import confusables, neighbours, pairs, spans, splitting
 from tesserine.runtime import load, stage
 
 
@@ -39,6 +39,11 @@ def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.unified(load(spark, sf_dir, "chunks").select("chunk_id", "text", "heading_path").dropDuplicates(["chunk_id"]), "text", "heading_path")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective pairs of question and answer with their type of defect."""
+    return pairs.broken_pairs(load(spark, sf_dir, "generation"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every block and chunk of more than 400 tokens, with 50 tokens of overlap."""
     blocks = splitting.split_oversized(load(spark, sf_dir, "blocks"), "block_id").withColumn("item_table", F.lit("block"))
@@ -61,7 +66,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("shared_chars > 0").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_unified": p2_unified, "p4_found": p4_found, "p4_pieces": p4_pieces, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_unified": p2_unified, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p10_found": p10_found, "p10_shares": p10_shares}
 
 SQL = {
     "p1_found": """
