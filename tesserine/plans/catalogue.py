@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserine.plans import preparation
 from tesserine.runtime import load
 
 
@@ -11,5 +12,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id")
 
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+QUERIES: dict = {**preparation.QUERIES}
+SQL: dict[str, str] = {**preparation.SQL}
