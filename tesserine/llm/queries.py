@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserine.llm import confusables, neighbours, pairs, spans, splitting
+from tesserine.llm import confusables, mixing, neighbours, packing, pairs, spans, splitting
 from tesserine.runtime import load, stage
 
 
@@ -56,6 +56,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pieces(spark, sf_dir).select("item_table", "item_key").distinct()
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of containers of 2,048 tokens that hold all documents."""
+    return packing.containers(load(spark, sf_dir, "documents"), capacity=2048)
+
+
+def p8_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full these containers are."""
+    return packing.use_of_space(p8_containers(spark, sf_dir), 2048)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the largest mixture in which every source has its target share."""
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actual shares of that mixture."""
+    return mixing.shares(p9_mixture(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
+
+
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document is shared with another document in spans of at least 200 characters."""
     return spans.shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text", least=200)
@@ -66,7 +86,13 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("shared_chars > 0").select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_unified": p2_unified, "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p10_found": p10_found, "p10_shares": p10_shares}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_neighbours, p2_found, p2_unified, p3_found, p4_found, p4_pieces,
+        p8_containers, p8_used, p9_mixture, p9_shares, p10_found, p10_shares,
+    )
+}
 
 SQL = {
     "p1_found": """
