@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserine.plans import preparation
+from tesserine.plans import corpus, preparation
 from tesserine.runtime import load
 
 
@@ -12,5 +12,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id")
 
 
-QUERIES: dict = {**preparation.QUERIES}
-SQL: dict[str, str] = {**preparation.SQL}
+QUERIES: dict = {**corpus.QUERIES, **preparation.QUERIES}
+SQL: dict[str, str] = {**corpus.SQL, **preparation.SQL}
