@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from tesserine.functions import text as T
 from tesserine.operators.ordered import numbered, running_sum, runs
+from tesserine.runtime import widened
 
 ATOMIC = ("table", "figure")
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9(\"'])"
@@ -116,7 +117,7 @@ def exploded(blocks: DataFrame, limit: int) -> DataFrame:
 
     over = blocks.where(big).select(*names, "text")
     fields = over.select(*names).schema
-    pieces = over.mapInArrow(run, fields.add("pieces", ArrayType(StringType()))).select(*names, F.posexplode("pieces").alias("piece_no", "text"))
+    pieces = over.mapInArrow(run, widened(fields, "pieces", ArrayType(StringType()))).select(*names, F.posexplode("pieces").alias("piece_no", "text"))
     rest = blocks.where(~F.coalesce(big, F.lit(False))).withColumn("piece_no", F.lit(0))
     return rest.select(*names, "piece_no", "text").unionByName(pieces)
 
@@ -137,7 +138,7 @@ def packed(blocks: DataFrame, how: Packing) -> DataFrame:
             numbers = [packed_groups([p["kind"] for p in parts], [p["size"] for p in parts], how) for parts in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.list_(pa.int32()))], [*batch.schema.names, "numbers"])
 
-    found = gathered.mapInArrow(run, gathered.schema.add("numbers", ArrayType(IntegerType())))
+    found = gathered.mapInArrow(run, widened(gathered.schema, "numbers", ArrayType(IntegerType())))
     each = found.select("doc_id", "section_no", F.explode(F.arrays_zip("parts", "numbers")).alias("z"))
     each = each.select("doc_id", "section_no", F.col("z.parts.block_no").alias("block_no"), F.col("z.parts.piece_no").alias("piece_no"), F.col("z.numbers").alias("chunk_no"))
     return pieces.join(each, ["doc_id", "section_no", "block_no", "piece_no"])

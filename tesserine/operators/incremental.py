@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from tesserine.functions import text as T
 from tesserine.operators.enrich import embedded_text
+from tesserine.runtime import widened
 
 
 def hashed(chunks: DataFrame, model: str) -> DataFrame:
@@ -103,4 +104,4 @@ def embedded(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], d
                 found.extend(got)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.float32()))], [*b.schema.names, "vector"])
 
-    return rows.mapInArrow(run, rows.schema.add("vector", ArrayType(FloatType())))
+    return rows.mapInArrow(run, widened(rows.schema, "vector", ArrayType(FloatType())))

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 _OWN: list[str] = []
 
@@ -71,3 +72,8 @@ def once(df: DataFrame, *keys: str) -> DataFrame:
 def finite(col):
     """True where a floating point column is neither null, NaN nor infinite."""
     return col.isNotNull() & ~F.isnan(col) & (F.abs(col) < F.lit(float("inf")))
+
+
+def widened(schema: StructType, name: str, kind: DataType) -> StructType:
+    """A new schema with one more field (StructType.add would change the data frame's own)."""
+    return StructType([*schema.fields, StructField(name, kind)])
