@@ -36,12 +36,30 @@ def bag_coverage(segments: DataFrame, passages: DataFrame, least: float = 0.7) -
     ranked = words.join(rarity, "term", "left").withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     prefix = ranked.where(F.col("before") <= F.col("words") - needed(F.col("words"))).select("segment_id", "group", "term")
     candidates = prefix.join(has, ["group", "term"]).select("segment_id", "group", "item_id").distinct()
-    both = candidates.join(seg, ["segment_id", "group"]).join(pas.withColumnRenamed("terms", "p"), ["item_id", "group"])
-    # shared words with repetition: of each distinct word the smaller count
-    count = lambda words, t: F.size(F.filter(words, lambda x: x == t))
-    shared = F.aggregate(F.array_distinct("terms"), F.lit(0), lambda s, t: s + F.least(count(F.col("terms"), t), count(F.col("p"), t)))
-    out = both.withColumn("shared", shared).withColumn("words", F.size("terms"))
-    return out.where(F.col("shared") >= needed(F.col("words"))).select("segment_id", "item_id", "shared", "words", (F.col("shared") / F.col("words")).alias("bag"))
+    # every occurrence of a word gets its number, so that an intersection of sets is one of bags
+    bags = lambda df, key: _occurrences(df.join(candidates.select(key).distinct(), key, "left_semi"), key)
+    both = candidates.select("segment_id", "item_id").join(bags(seg, "segment_id"), "segment_id").join(bags(pas, "item_id").withColumnRenamed("bag", "p"), "item_id")
+    out = both.select("segment_id", "item_id", F.size(F.array_intersect("bag", "p")).alias("shared"), F.size("bag").alias("words"))
+    return out.where(F.col("shared") >= needed(F.col("words"))).select("*", (F.col("shared") / F.col("words")).alias("bag"))
+
+
+def _occurrences(rows: DataFrame, key: str) -> DataFrame:
+    """(key, bag): the terms of a row, each with the number of its occurrence."""
+
+    def run(batches):
+        for batch in batches:
+            bags = []
+            for terms in batch.column(1).to_pylist():
+                seen: dict[str, int] = {}
+                bags.append([_next(seen, t) for t in terms])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.list_(pa.string()))], [key, "bag"])
+
+    return rows.dropDuplicates([key]).select(key, "terms").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, bag array<string>")
+
+
+def _next(seen: dict[str, int], term: str) -> str:
+    seen[term] = seen.get(term, 0) + 1
+    return f"{term} {seen[term]}"
 
 
 def coverage(segments: DataFrame, passages: DataFrame, least: float = 0.7) -> DataFrame:
