@@ -86,6 +86,13 @@ def route(patterns: dict[tuple, int], targets: dict[str, tuple[float, int]], tot
     return got, out
 
 
+def reachable(patterns: dict[tuple, int], targets: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int]]:
+    """The targets of the sources that have any text, their shares scaled up to 1."""
+    have = {s for p in patterns for s in p}
+    rest = sum(share for s, (share, _) in targets.items() if s in have)
+    return {s: (share / rest, cap) for s, (share, cap) in targets.items() if s in have}
+
+
 def largest_total(patterns: dict[tuple, int], targets: dict[str, tuple[float, int]]) -> int:
     """The most tokens a mixture can have with every source at its target share; 0 where a wanted source has no text."""
     low, high = 0, sum(n * max(targets[s][1] for s in p) for p, n in patterns.items()) + 1
@@ -109,7 +116,8 @@ def mixture(
     """(key, source, uses, tokens): the selected documents, the source they are counted for, how often they are used for it
     and the tokens of one use.
 
-    targets: (source, target_share, max_repeats); shares must add up to 1. Documents with no source of targets, or without
+    targets: (source, target_share, max_repeats); shares must add up to 1. A source without any text cannot have its share;
+    the other shares are scaled up and shares() reports 0 for it. Documents with no source of targets, or without
     tokens, are not used. Of equal texts the smallest key stands for all, within the strictest of their sources' caps.
     Sources meet their quotas to within the tokens of one document a pattern. Null keys take no part, an empty table gives
     an empty result, other columns are ignored.
@@ -131,6 +139,7 @@ def mixture(
     patterns = {tuple(r.pattern): r.tokens for r in summed}
     if not patterns:
         return empty
+    wanted = reachable(patterns, wanted)
     size = largest_total(patterns, wanted) if total is None else total
     flows = route(patterns, wanted, size)[1]
     # every pattern's uses lie on a line, its first uses before its second; its sources take consecutive stretches

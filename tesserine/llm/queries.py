@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.llm import confusables, mixing, neighbours, packing, pairs, spans, splitting
+from tesserine.plans.corpus import tokens_sql
 from tesserine.runtime import load, stage
 
 
@@ -94,7 +96,37 @@ QUERIES = {
     )
 }
 
+_ALIKE = {chr(k): v for k, v in confusables.prototypes().items()}
+_ONE = {k: unicodedata.normalize("NFC", v) for k, v in _ALIKE.items() if v and len(unicodedata.normalize("NFC", v)) == 1}
+_MANY = {k: v for k, v in _ALIKE.items() if v and k not in _ONE and unicodedata.decomposition(k).startswith("<compat>")}
+_FROM = "".join(_ONE) + "".join(k for k, v in _ALIKE.items() if not v)
+_TO = "".join(_ONE.values()).replace("'", "''")
+
+
+def _form(text: str) -> str:
+    for k, v in _MANY.items():
+        text = f"replace({text}, '{k}', '{v}')"
+    return f"nfc_normalize(translate(nfc_normalize({text}), '{_FROM}', '{_TO}'))"
+
+
 SQL = {
+    "p2_found": f"""
+WITH v AS (
+  SELECT DISTINCT 'block.text' AS field, block_id AS key, '' AS scope, text AS raw FROM blocks WHERE text IS NOT NULL
+  UNION ALL SELECT DISTINCT 'chunk.text', chunk_id, '', text FROM chunks WHERE text IS NOT NULL
+  UNION ALL SELECT DISTINCT 'chunk.heading_path', chunk_id, doc_id, array_to_string(heading_path, chr(1)) FROM chunks WHERE heading_path IS NOT NULL),
+f AS (SELECT *, {_form('raw')} AS form FROM v)
+SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi FROM f a JOIN f b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.raw < b.raw AND a.key <> b.key
+""",
+    "p4_found": f"""
+SELECT DISTINCT 'block' AS item_table, block_id AS item_key FROM blocks WHERE {tokens_sql('text')} > 400
+UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE {tokens_sql('text')} > 400
+""",
+    "p10_found": """
+WITH w AS (SELECT doc_id, hash(text[i : i + 199]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+SELECT DISTINCT doc_id FROM w SEMI JOIN r USING (h)
+""",
     "p1_found": """
 WITH usable AS (
   SELECT DISTINCT model, vec_id, embedding FROM chunk_vectors
