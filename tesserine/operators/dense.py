@@ -41,7 +41,7 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, item: str =
     spark = vectors.sparkSession
     q = queries.where(valid_vector(F.col(vector))).select(F.col("query_id").cast("long").alias("query_id"), vector)
     rows = vectors.where(valid_vector(F.col(vector)))
-    rows = (rows if where is None else rows.where(where)).select(F.col(item).cast("long").alias("item_id"), vector).dropDuplicates(["item_id"])
+    rows = (rows if where is None else rows.where(where)).select(F.col(item).cast("long").alias("item_id"), vector)
     size = q.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
     if not size.n:
         return spark.createDataFrame([], "query_id long, item_id long, score double, rank int")
@@ -51,7 +51,8 @@ def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, item: str =
         table = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
         parts.append(_block_topk(rows, table, k, vector))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    found = reduce(DataFrame.unionByName, parts).groupBy("query_id", "item_id").agg(F.max("score").alias("score"))  # repeated rows count once
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _matrix(column, d: int):
@@ -74,18 +75,32 @@ def _block_topk(rows: DataFrame, table: pa.Table, k: int, vector: str) -> DataFr
             items = batch.column(0).to_numpy()
             for b, (_, qm) in enumerate(shared.value):
                 keep, x = _matrix(batch.column(1), qm.shape[1])
-                if not len(x):
-                    continue
-                for at in range(0, len(x), 4096):
-                    score = np.round(qm @ x[at : at + 4096].T, 6)
-                    scores = np.concatenate([best[b][0], score], axis=1)
-                    names = np.concatenate([best[b][1], np.broadcast_to(items[keep][at : at + 4096], score.shape)], axis=1)
-                    order = np.lexsort((names, -scores), axis=1)[:, :k]
-                    best[b] = (np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1))
+                names, first = np.unique(items[keep], return_index=True)
+                for at in range(0, len(names), _WIDTH):
+                    some = names[at : at + _WIDTH]
+                    score = np.round(qm @ x[first[at : at + _WIDTH]].T, 6)
+                    key = np.rint((score + 1) * 1e6).astype(np.int64) * _WIDTH + np.arange(len(some))[::-1]  # equal scores: the smaller item first
+                    cols = np.argpartition(-key, min(k, len(some)) - 1, axis=1)[:, :k]
+                    best[b] = _merged(best[b], (np.take_along_axis(score, cols, 1), some[cols]), k)
         for (i, _), (scores, names) in zip(shared.value, best):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(i, scores.shape[1])), pa.array(names.ravel()), pa.array(scores.ravel())], ["query_id", "item_id", "score"])
 
-    return rows.mapInArrow(run, "query_id long, item_id long, score double")
+    return rows.mapInArrow(run, "query_id long, item_id long, score double").where("score > -2")
+
+
+_WIDTH = 4096
+
+
+def _merged(a, b, k: int):
+    """The k best of two lists a row; an item in both counts once."""
+    scores, names = (np.concatenate([x, y], axis=1) for x, y in zip(a, b))
+    order = np.lexsort((names, -scores), axis=1)
+    scores, names = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+    again = np.zeros(names.shape, bool)
+    again[:, 1:] = names[:, 1:] == names[:, :-1]
+    scores = np.where(again, -2.0, scores)
+    order = np.lexsort((names, -scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:

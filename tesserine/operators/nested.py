@@ -38,14 +38,14 @@ def _text(value) -> str | None:
     return json.dumps(value)
 
 
-def walk(document, wanted=None):
+def walk(document, wanted=None, scalars=None):
     """(label, schema path, ordinal, scalar, scalar fields) of every node whose path is wanted, in document order."""
     stack = [((), "", 0, document)]
     while stack:
         label, path, ordinal, x = stack.pop()
         if isinstance(x, dict):
             if wanted is None or wanted(path):
-                yield label, path, ordinal, None, [(k, _text(v)) for k, v in x.items() if not isinstance(v, (dict, list))]
+                yield label, path, ordinal, None, [(k, _text(v)) for k, v in x.items() if not isinstance(v, (dict, list)) and (scalars is None or k in scalars)]
             inner = [(label + (i,), f"{path}.{k}" if path else k, i, v) for i, (k, v) in enumerate(x.items()) if isinstance(v, (dict, list))]
         elif isinstance(x, list):
             if wanted is None or wanted(path):
@@ -58,10 +58,11 @@ def walk(document, wanted=None):
         stack.extend(reversed(inner))
 
 
-def nodes(records: DataFrame, key: str, raw: str, paths: str | None = None) -> DataFrame:
+def nodes(records: DataFrame, key: str, raw: str, paths: str | None = None, scalars: tuple[str, ...] | None = None) -> DataFrame:
     """(key, dewey, parent, path, ordinal, value, fields): one row per node of each record's JSON document.
 
-    paths: a regular expression; only nodes whose whole schema path matches it come out (labels stay the same). Records
+    paths: a regular expression; only nodes whose whole schema path matches it come out (labels stay the same). scalars:
+    the scalar fields that are kept, all by default. Records
     that are null, cut off, or hold something after the document give no nodes; rows with a null key take no part; equal
     rows come out once. `fields` has the scalar fields of an object, nulls included; `value` a scalar element.
     """
@@ -76,7 +77,7 @@ def nodes(records: DataFrame, key: str, raw: str, paths: str | None = None) -> D
                 document = parse(text)
                 if document is None:
                     continue
-                for label, path, ordinal, value, fields in walk(document, wanted):
+                for label, path, ordinal, value, fields in walk(document, wanted, scalars):
                     at.append(i)
                     for column, x in zip(columns, (label, label[:-1], path, ordinal, value, fields)):
                         column.append(x)
@@ -112,9 +113,12 @@ ITEM = r"body|(?:texts|groups|tables|pictures)\[\]"
 REFERENCES = ("children", "captions", "footnotes")
 
 
-def document_nodes(records: DataFrame, key: str = "record_id", raw: str = "raw") -> DataFrame:
+LINK_FIELDS = ("self_ref", "$ref", "cref")
+
+
+def document_nodes(records: DataFrame, key: str = "record_id", raw: str = "raw", scalars: tuple[str, ...] | None = None) -> DataFrame:
     """The nodes of parsed documents that items, page positions, cells and references are made of, equal ones once."""
-    found = nodes(records, key, raw, rf"(?:{ITEM})(?:\.(?:{'|'.join(REFERENCES)}|prov)\[\]|\.data\.grid\[\]\[\]|\.prov\[\]\.bbox|\.parent)?")
+    found = nodes(records, key, raw, rf"(?:{ITEM})(?:\.(?:{'|'.join(REFERENCES)}|prov)\[\]|\.data\.grid\[\]\[\])?", scalars)
     return found.dropDuplicates([key, "dewey"])
 
 

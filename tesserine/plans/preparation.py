@@ -13,7 +13,7 @@ PACKED_FIELDS = ("ref_id", "ref_url", "supporting_materials", "answer_value")
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link from an item of a parsed record to its children, captions, footnotes, page positions and cells."""
-    document = stage(nested.document_nodes(load(spark, sf_dir, "parsed_json")), "nodes")
+    document = stage(nested.document_nodes(load(spark, sf_dir, "parsed_json"), scalars=nested.LINK_FIELDS), "nodes")
     return nested.links(document)
 
 
