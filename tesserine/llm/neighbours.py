@@ -177,16 +177,19 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 def fit_models(rows: DataFrame, threshold: float, seed: int) -> dict[str, dict]:
     """Centres and code books of each model, fitted in one task a model on at most SAMPLE_ROWS rows of it."""
     counts = rows.groupBy("model").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("model").orderBy(F.xxhash64(F.lit(seed), "h"), "vec_id")
-    sample = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_ROWS).drop("at")
+    place = F.xxhash64(F.lit(seed), "h")
+    # a hash threshold first, so that little more than the sample is moved whatever the number of rows
+    some = (place.cast("double") / 2.0**64 + 0.5) * F.col("n") <= 1.1 * SAMPLE_ROWS + 1_000
+    order = Window.partitionBy("model").orderBy(place, "vec_id")
+    near = rows.join(F.broadcast(counts), "model").where(some)  # one row a model
+    sample = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_ROWS)
 
     def fit(key, table):
         x = np.stack([np.asarray(v, np.float32) for v in table.column("embedding").to_numpy(zero_copy_only=False)])
         fitted = _fit(x, table.column("n")[0].as_py(), threshold, seed)
         return pa.table({"model": [key[0].as_py()], "fitted": [pickle.dumps(fitted)]})
 
-    joined = sample.join(F.broadcast(counts), "model").select("model", "embedding", "n")
-    return {r.model: pickle.loads(r.fitted) for r in joined.groupBy("model").applyInArrow(fit, "model string, fitted binary").collect()}
+    return {r.model: pickle.loads(r.fitted) for r in sample.select("model", "embedding", "n").groupBy("model").applyInArrow(fit, "model string, fitted binary").collect()}
 
 
 def most_similar(
