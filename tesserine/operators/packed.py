@@ -27,7 +27,7 @@ COMMON = 0.02  # least share of a type among the undivided values of its source
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
 _QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
 _BRACKETS = {"(": ")", "[": "]", "{": "}"}
-_GROUPED = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:[     '’]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:\.\d{3}){2,}(?:,\d+)?|\d*\.?\d+(?:,\d+)?"
+_GROUPED = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:[     '’]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:\.\d{3}){2,}(?:,\d+)?|\d*\.\d+|\d+(?:,\d+)?"
 _POWER = r"(?:[eE][+\-−]?\d+|\s*[×x*·]\s*10\^?[+\-−]?[\d⁰¹²³⁴⁵⁶⁷⁸⁹⁻]+)?"
 _ONE = rf"[+\-−]?(?:{_GROUPED}){_POWER}"
 _ABOUT = r"(?:(?:approx\.?|about|around|circa|ca?\.)\s*|[~≈±]\s*)?"
