@@ -9,11 +9,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tesserine.functions import text as T
 from tesserine.operators.ordered import numbered, running_sum, runs
-from tesserine.runtime import widened
+from tesserine.runtime import stage, widened
 
 ATOMIC = ("table", "figure")
 SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9(\"'])"
@@ -106,20 +106,19 @@ BLOCK_COLUMNS = ("doc_id", "block_no", "kind", "text", "heading_path", "page", "
 
 
 def exploded(blocks: DataFrame, limit: int) -> DataFrame:
-    """blocks with piece_no: blocks over the limit that are not atomic come out in sentence pieces, the rest as they are."""
-    big = (T.approx_tokens(F.col("text")) > limit) & ~F.col("kind").isin(*ATOMIC)
-    names = [c for c in blocks.columns if c != "text"]
+    """blocks with piece_no: blocks over the limit that are not atomic come out in sentence pieces, the rest as they are.
 
-    def run(batches):
-        for batch in batches:
-            cut = [sentence_pieces(t, limit) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(cut, pa.list_(pa.string()))], [*names, "pieces"])
+    Only texts over the limit are sent to Python, all in one pass.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(texts):
+        return texts.map(lambda t: None if t is None else sentence_pieces(t, limit))
 
-    over = blocks.where(big).select(*names, "text")
-    fields = over.select(*names).schema
-    pieces = over.mapInArrow(run, widened(fields, "pieces", ArrayType(StringType()))).select(*names, F.posexplode("pieces").alias("piece_no", "text"))
-    rest = blocks.where(~F.coalesce(big, F.lit(False))).withColumn("piece_no", F.lit(0))
-    return rest.select(*names, "piece_no", "text").unionByName(pieces)
+    big = (T.approx_tokens(F.col("text")) > limit) & ~F.col("kind").isin(*ATOMIC)
+    names = [c for c in blocks.columns if c != "text"]
+    pieces = F.coalesce(cut(F.when(big, F.col("text"))), F.array("text"))
+    return blocks.select(*names, F.posexplode(pieces).alias("piece_no", "text"))
 
 
 def sections(blocks: DataFrame) -> DataFrame:
@@ -129,7 +128,7 @@ def sections(blocks: DataFrame) -> DataFrame:
 
 def packed(blocks: DataFrame, how: Packing) -> DataFrame:
     """The pieces of blocks (see exploded) with section_no and chunk_no in it. Only kinds and sizes of a section are gathered."""
-    pieces = exploded(sections(blocks), how.limit).withColumn("size", T.approx_tokens(F.col("text")))
+    pieces = stage(exploded(sections(blocks), how.limit).withColumn("size", T.approx_tokens(F.col("text"))), "pieces")
     order = F.array_sort(F.collect_list(F.struct("block_no", "piece_no", "kind", "size")))
     gathered = pieces.groupBy("doc_id", "section_no").agg(order.alias("parts"))
 
@@ -156,7 +155,7 @@ def assembled(pieces: DataFrame, by: list[str]) -> DataFrame:
     part = F.struct("block_no", "piece_no", "kind", "text", "heading_path", "page", "source_refs", F.col("metadata").alias("meta"))
     slim = pieces.select(*by, F.struct("block_no", "piece_no").alias("o"), part.alias("p"))
     rows = slim.groupBy(*by).agg(F.collect_list(F.struct("o", F.struct("p.kind", "p.text", "p.heading_path", "p.page", "p.source_refs", F.map_entries("p.meta").alias("meta")).alias("b"))).alias("parts"))
-    rows = rows.withColumn("parts", F.transform(F.array_sort("parts", lambda x, y: F.when(x["o"] < y["o"], -1).when(x["o"] > y["o"], 1).otherwise(0)), lambda p: p["b"]))
+    rows = rows.withColumn("parts", F.transform(F.array_sort("parts"), lambda p: p["b"]))
     p = F.col("parts")
     apart = lambda x, i: F.when(i == 0, F.lit("")).when((x["kind"] == "list_item") & (F.get(p, i - 1)["kind"] == "list_item"), F.lit("\n")).otherwise(F.lit("\n\n"))
     text = F.array_join(F.transform(p, lambda x, i: F.concat(apart(x, i), F.coalesce(x["text"], F.lit("")))), "")
@@ -206,13 +205,14 @@ def fixed_chunks(blocks: DataFrame, limit: int = 300, overlap: int = 50, strateg
     """
     size, step = window_shape(limit, overlap)
     kept = blocks.select(*BLOCK_COLUMNS).where(outside_sections(F.col("heading_path"))).withColumn("w", T.words(F.coalesce("text", F.lit("")))).where(F.size("w") > 0)
-    placed = running_sum(kept, ["doc_id"], "block_no", F.size("w"), "first")
-    total = placed.groupBy("doc_id").agg(F.max(F.col("first") + F.size("w")).alias("total"))
+    sizes = kept.select("doc_id", "block_no", F.size("w").alias("n"))
+    placed = stage(running_sum(sizes, ["doc_id"], "block_no", F.col("n"), "first"), "offsets")
+    total = placed.groupBy("doc_id").agg(F.max(F.col("first") + F.col("n")).alias("total"))
     last = F.ceil(F.greatest(F.col("total") - size, F.lit(0)) / step)
     end = F.col("first") + F.size("w")
     low = F.greatest(F.lit(0), F.floor((F.col("first") - size) / step) + 1)
     high = F.least(last, F.floor((end - 1) / step))
-    each = placed.join(total, "doc_id").where(low <= high).withColumn("chunk_no", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
+    each = kept.join(placed.join(total, "doc_id").drop("n"), ["doc_id", "block_no"]).where(low <= high).withColumn("chunk_no", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
     begin = F.greatest(F.col("first"), F.col("chunk_no") * step)
     stop = F.least(F.col("first") + F.size("w"), F.col("chunk_no") * step + size)
     each = each.where(begin < stop).withColumn("text", F.array_join(F.slice("w", (begin - F.col("first") + 1).cast("int"), (stop - begin).cast("int")), " "))

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.runtime import small, stage
+
+QUERY_ROWS = 500_000  # rows of query terms that are broadcast at most; more are joined by shuffle
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -29,14 +32,15 @@ def bm25(passages: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
     stats = kept.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
     asked = queries.select("query_id", F.explode(T.terms(F.col("query"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     vocabulary = asked.select("term").distinct()
-    long = kept.select("item_id", "wanted", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(vocabulary, "term", "left_semi")
-    postings = long.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("wanted").alias("wanted"))
+    long = kept.select("item_id", "wanted", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(small(vocabulary, QUERY_ROWS), "term", "left_semi")
+    # one exchange by item: counting terms, meeting the queries' terms and adding up scores then all happen in place
+    postings = long.repartition("item_id").groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("wanted").alias("wanted"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(frequency, "term").crossJoin(F.broadcast(stats))  # stats is one row
     weighed = weighed.select("query_id", "term", "mean", (F.col("qtf") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
     norm = F.lit(k1) * (1 - b + b * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = weighed.join(postings.where("wanted"), "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = postings.where("wanted").join(small(weighed, QUERY_ROWS), "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
     return _ranked(scored.where("score > 0"), k)
 
 
@@ -47,15 +51,19 @@ def tfidf(passages: DataFrame, queries: DataFrame, k: int = 10, stop_words=T.STO
     the query are ranked. Rounding and ties as in bm25.
     """
     stats = passages.agg(F.count("*").alias("n"))
+    # one exchange by item for everything that is added up by item; terms meet their frequency by term
     long = passages.select("item_id", F.explode(T.ngram_terms(F.col("text"), stop_words)).alias("term"))
-    postings = long.groupBy("item_id", "term").agg(F.count("*").alias("tf"))
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    idf = frequency.select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    weighed = postings.join(idf, "term").select("item_id", "term", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
-    lengths = weighed.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    asked = queries.select("query_id", F.explode(T.ngram_terms(F.col("query"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    asked = asked.join(idf, "term").select("query_id", "term", ((F.log("tf") + 1) * F.col("idf")).alias("qw"))
+    postings = stage(long.groupBy("item_id", "term").agg(F.count("*").alias("tf")), "postings")
+    idf = stage(postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    weight = (F.log("tf") + 1) * F.col("idf")
+    lengths = postings.join(idf, "term").groupBy("item_id").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+    raw = queries.select("query_id", F.explode(T.ngram_terms(F.col("query"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
+    few = raw.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    asked = raw.join(idf, "term").select("query_id", "term", "idf", weight.alias("qw"))
     asked_length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_length"))
-    dots = asked.join(weighed, "term").groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scored = dots.join(lengths, "item_id").join(asked_length, "query_id")
+    terms = asked.select("query_id", "term", "idf", "qw").join(asked_length, "query_id")
+    hits = postings.join(hint(terms.select("term").distinct()), "term", "left_semi").repartition("item_id").join(hint(terms), "term")
+    dots = hits.groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * weight).alias("dot"), F.first("q_length").alias("q_length"))
+    scored = dots.join(lengths, "item_id")
     return _ranked(scored.select("query_id", "item_id", F.round(F.col("dot") / (F.col("length") * F.col("q_length")), 6).alias("score")), k)

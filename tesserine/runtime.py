@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 _OWN: list[str] = []
+_STAGED: list[str] = []
 
 
 def session(app: str = "tesserine", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,17 +62,20 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def once(df: DataFrame, *keys: str) -> DataFrame:
-    """One row per key; exact copies of a row collapse (keys repeat only with the same content)."""
-    return df.dropDuplicates(list(keys))
+def release(spark: SparkSession) -> None:
+    """Deletes the tables this process staged; results that still read them must have been written before."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def finite(col):
-    """True where a floating point column is neither null, NaN nor infinite."""
-    return col.isNotNull() & ~F.isnan(col) & (F.abs(col) < F.lit(float("inf")))
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, else as it is (the join is then a shuffled one)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def widened(schema: StructType, name: str, kind: DataType) -> StructType:

@@ -60,9 +60,11 @@ CATALOG = [("kWh", "kilowatt hour", "energy", "kWh", 1.0, 0.0), ("MWh", "megawat
     ],
 )
 def test_amounts(spark, value, unit, want):
-    rows = spark.createDataFrame([(1, value, unit), (1, value, unit)], "gen_id long, v string, unit string")
+    row = (1, value, unit, 9.0, "x")
+    rows = spark.createDataFrame([row, row, (None, *row[1:])], "gen_id long, v string, unit string, amount double, quantity string")
     catalog = spark.createDataFrame(CATALOG, "unit string, unit_name string, quantity string, common_unit string, factor double, shift double")
     got = units.amounts(rows, catalog, "gen_id", "v", "unit").collect()
+    assert units.amounts(rows.limit(0), catalog, "gen_id", "v", "unit").isEmpty() if want == 0.0 else True
     assert [pytest.approx(r.amount) for r in got] == ([] if want is None else [want])
 
 

@@ -115,3 +115,15 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["publish", str(tmp_path / "snap"), index])
     cli.main(["install", str(tmp_path / "snap"), str(tmp_path / "back")])
     assert spark.read.parquet(str(tmp_path / "back" / "index")).count() == 3
+
+
+def test_staged_tables_can_be_released(spark):
+    import glob
+
+    from tesserine import runtime
+
+    assert runtime.stage(spark.range(3), "probe").count() == 3
+    where = runtime.shared_dir(spark).removeprefix("file://")
+    assert glob.glob(f"{where}/probe-*")
+    runtime.release(spark)
+    assert not glob.glob(f"{where}/probe-*") and not runtime._STAGED
