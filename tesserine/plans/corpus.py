@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserine.functions import text as T
 from tesserine.operators import chunking, enrich, incremental, nested, ordered
 from tesserine.plans import strategies
+from tesserine.plans.preparation import PLACED
 from tesserine.runtime import load, stage
 from tesserine.sources import parsed
 from tesserine.streaming.index import event_counts
@@ -247,6 +248,11 @@ _STORED = f"""stored AS (SELECT DISTINCT v.chunk_id, sha256(v.model || chr(10) |
 now AS (SELECT DISTINCT chunk_id, sha256('{MODEL}' || chr(10) || coalesce({_EMBEDDED}, '')) AS embed_hash FROM chunks)"""
 
 SQL = {
+    "table_markdown": PLACED
+    + f""", g AS (SELECT *, unnest(range(coalesce(json_array_length(x, '$.data.grid'), 0)::BIGINT)) AS row FROM n),
+c AS (SELECT record_id, ref, row, k, replace(trim(regexp_replace(coalesce(json_extract_string(x, '$.data.grid[' || row || '][' || k || '].text'), ''), '{WS}', ' ', 'g')), '|', chr(92) || '|') AS t
+  FROM (SELECT *, unnest(range(coalesce(json_array_length(x, '$.data.grid[' || row || ']'), 0)::BIGINT)) AS k FROM g))
+SELECT record_id, ref AS item_ref, row, '| ' || string_agg(t, ' | ' ORDER BY k) || ' |' AS line FROM c GROUP BY ALL HAVING max(t) <> ''""",
     "approx_tokens": f"""SELECT kind, count(*) AS chunks, median(t)::DOUBLE AS median_tokens, max(t) AS max_tokens
 FROM (SELECT DISTINCT chunk_id, kind, {tokens_sql('text')} AS t FROM chunks) GROUP BY kind""",
     "sentence_split": r"""SELECT doc_id, pos - 1 AS pos, s[pos] AS sentence FROM (

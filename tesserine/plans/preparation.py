@@ -17,23 +17,28 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.links(document)
 
 
+def _label():
+    """An item's Dewey label as text."""
+    return F.array_join(F.col("item_dewey").cast("array<string>"), ".")
+
+
 def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of all parsed records as a flat table."""
-    return nested.items(nested.document_nodes(load(spark, sf_dir, "parsed_json")))
+    return nested.items(nested.document_nodes(load(spark, sf_dir, "parsed_json"))).withColumn("item_dewey", _label())
 
 
 def p5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page positions of all items as a flat table, each with the label of its item."""
     document = nested.document_nodes(load(spark, sf_dir, "parsed_json"))
     parts = nested.attached(document).where("part = 'prov'")
-    return parts.select("record_id", "item_dewey", "item_ref", F.col("ordinal").alias("position"), F.col("fields")["page_no"].try_cast("int").alias("page_no"))
+    return parts.select("record_id", _label().alias("item_dewey"), "item_ref", F.col("ordinal").cast("long").alias("position"), F.col("fields")["page_no"].try_cast("int").alias("page_no"))
 
 
 def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of all tables as a flat table, each with the label of its item."""
     document = nested.document_nodes(load(spark, sf_dir, "parsed_json"))
     parts = nested.attached(document).where("part = 'data.grid'")
-    return parts.select("record_id", "item_dewey", "item_ref", "row", F.col("ordinal").alias("col"), F.coalesce(F.col("fields")["text"], "value").alias("text"))
+    return parts.select("record_id", _label().alias("item_dewey"), "item_ref", F.col("row").cast("long").alias("row"), F.col("ordinal").cast("long").alias("col"), F.coalesce(F.col("fields")["text"], "value").alias("text"))
 
 
 def p6_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +137,28 @@ grid AS (SELECT record_id, ref, x, unnest(range(coalesce(json_array_length(x, '$
 cells AS (SELECT record_id, ref, i, unnest(range(coalesce(json_array_length(x, '$.data.grid[' || i || ']'), 0)::BIGINT)) AS k FROM grid)
 """
 
+PLACED = """
+WITH j AS (SELECT DISTINCT record_id, substr(raw, strpos(raw, '{')) AS r FROM parsed_json WHERE raw IS NOT NULL AND json_valid(substr(raw, strpos(raw, '{')))),
+i AS (SELECT record_id, 'body' AS collection, CAST(list_position(json_keys(r), 'body') - 1 AS VARCHAR) AS item_dewey, '#/body' AS place, json_extract(r, '$.body') AS x FROM j WHERE json_type(r, '$.body') = 'OBJECT'""" + "".join(
+    f"""
+  UNION ALL SELECT record_id, '{c}', (list_position(json_keys(r), '{c}') - 1) || '.' || k, '#/{c}/' || k, json_extract(r, '$.{c}[' || k || ']')
+    FROM (SELECT *, unnest(range(coalesce(json_array_length(r, '$.{c}'), 0)::BIGINT)) AS k FROM j)"""
+    for c in ("texts", "groups", "tables", "pictures")
+) + """),
+n AS (SELECT record_id, collection, item_dewey, coalesce(json_extract_string(x, '$.self_ref'), place) AS ref, x FROM i)
+"""
+
 SQL = {
+    "p5_items": PLACED
+    + """SELECT record_id, item_dewey, collection, ref AS self_ref, json_extract_string(x, '$.label') AS label, json_extract_string(x, '$.content_layer') AS content_layer,
+  json_extract_string(x, '$.name') AS name, json_extract_string(x, '$.text') AS text FROM n""",
+    "p5_positions": PLACED
+    + """SELECT record_id, item_dewey, ref AS item_ref, k AS position, CAST(json_extract_string(x, '$.prov[' || k || '].page_no') AS INTEGER) AS page_no
+FROM (SELECT *, unnest(range(coalesce(json_array_length(x, '$.prov'), 0)::BIGINT)) AS k FROM n)""",
+    "p5_cells": PLACED
+    + """, g AS (SELECT *, unnest(range(coalesce(json_array_length(x, '$.data.grid'), 0)::BIGINT)) AS row FROM n)
+SELECT record_id, item_dewey, ref AS item_ref, row, k AS col, json_extract_string(x, '$.data.grid[' || row || '][' || k || '].text') AS text
+FROM (SELECT *, unnest(range(coalesce(json_array_length(x, '$.data.grid[' || row || ']'), 0)::BIGINT)) AS k FROM g)""",
     "p5_found": _ITEMS
     + """SELECT DISTINCT r.record_id, r.ref AS parent_ref, r.child AS child_ref, r.link FROM refs r SEMI JOIN named n ON n.record_id = r.record_id AND n.ref = r.child
 UNION ALL SELECT DISTINCT record_id, ref, ref || '/prov/' || i, 'prov' FROM (SELECT record_id, ref, unnest(range(coalesce(json_array_length(x, '$.prov'), 0)::BIGINT)) AS i FROM named)
