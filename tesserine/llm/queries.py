@@ -121,6 +121,15 @@ SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi
     "p4_found": f"""
 SELECT DISTINCT 'block' AS item_table, block_id AS item_key FROM blocks WHERE {tokens_sql('text')} > 400
 UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE {tokens_sql('text')} > 400
+""",
+    "p10_shares": """
+WITH w AS (SELECT doc_id, i, hash(text[i : i + 199]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT w.doc_id, i, w.doc_id = first AS own, least(coalesce(lead(i) OVER (PARTITION BY w.doc_id ORDER BY i) - i, 200), 200) AS a,
+  least(coalesce(lead(i) OVER (PARTITION BY w.doc_id, w.doc_id = first ORDER BY i) - i, 200), 200) AS b FROM w JOIN r USING (h)),
+t AS (SELECT doc_id, CAST(sum(a) AS BIGINT) AS shared, CAST(coalesce(sum(b) FILTER (WHERE NOT own), 0) AS BIGINT) AS later FROM s GROUP BY doc_id)
+SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared - later, 0) AS first_chars,
+  CASE WHEN length(coalesce(text, '')) > 0 THEN coalesce(shared, 0) / length(text)::DOUBLE ELSE 0 END AS share FROM documents d LEFT JOIN t USING (doc_id)
 """,
     "p10_found": """
 WITH w AS (SELECT doc_id, hash(text[i : i + 199]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
