@@ -60,7 +60,7 @@ def parsed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a recorded hit's chunk holds the first sentence of its own embedded text, white space aside."""
+    """Whether a recorded hit's chunk holds the last sentence of its own embedded text, white space aside."""
     hits = load(spark, sf_dir, "search_hits").where("chunk_id is not null").select(F.col("query_id").alias("question_id"), "chunk_id").distinct()
     quotes = load(spark, sf_dir, "chunks").select("chunk_id", F.element_at(F.split("embed_text", r"(?<=[.!?])\s+"), -1).alias("quote")).dropDuplicates(["chunk_id"])
     cited = hits.join(quotes, "chunk_id", "left")

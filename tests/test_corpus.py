@@ -213,3 +213,16 @@ def test_text_functions(spark):
     assert one(T.json_object(t), t="```json\n{\"a\": 1}\n``` ok") == '{"a": 1}' and one(T.json_object(t), t="none") is None
     assert one(T.without_thinking(t), t="<think>a\nb</think>c") == "c" and one(T.ungrouped(t), t="100,000") == "100000" and one(T.ungrouped(t), t="10,00") == "10,00"
     assert one(T.collection_name(t, t), t="a/b") == "a-b__a-b" and one(T.preprint(t)[1], t="https://arxiv.org/abs/2401.12345v2") == "v2"
+
+
+def test_event_counts_of_a_stream(spark, tmp_path):
+    from tesserine.streaming.index import event_counts
+
+    rows = [(f"2025-01-01 0{h}:{m:02d}:00", kind, float(m)) for h in range(4) for m in range(0, 60, 7) for kind in "ab"]
+    events = spark.createDataFrame(rows, "at string, event_type string, value double").select(F.to_timestamp("at").alias("ts"), "event_type", "value")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = event_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.outputMode("complete").format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, event_counts(events).collect()))
+    assert spark.table("counted").count() == 8
