@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.runtime import stage
+
 # Candidate delimiters, strongest first; the name is what scores are kept by.
 CANDIDATES = {
     "newline": r"\s*\n+\s*", "tab": r"[^\S\n]*\t+[^\S\n]*", "double pipe": r"\s*\|\|\s*", "double dash": r"\s+--\s+", "pipe": r"\s*\|\s*", "semicolon": r"\s*;\s*",
@@ -63,7 +65,7 @@ ALIKE = {"amount": "number"}  # types that may stand side by side in one list
 
 
 def _trimmed(text: str) -> str:
-    return text.translate(_INVISIBLE).strip()
+    return text.strip() if text.isascii() else text.translate(_INVISIBLE).strip()
 
 
 def _unquoted(piece: str) -> str:
@@ -226,6 +228,7 @@ def delimiter_scores(fields: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["source", "delimiter", "kind", "n"])
 
     counted = fields.select("source", "text").mapInArrow(run, "source string, delimiter string, kind string, n long").groupBy("source", "delimiter", "kind").agg(F.sum("n").alias("n"))
+    counted = stage(counted, "delimiter-counts")  # a few rows a source, read four times below
     whole = counted.where("delimiter = ''").groupBy("source").agg(F.sum("n").alias("all"))
     common = counted.where("delimiter = ''").join(whole, "source").where(F.col("kind").isin(*REGULAR) & (F.col("n") >= COMMON * F.col("all"))).select("source", "kind", F.lit(1).alias("common"))
     made = counted.where("delimiter <> '' and kind not in ('one', 'mixed')").join(common, ["source", "kind"], "left")
