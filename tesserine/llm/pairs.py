@@ -3,7 +3,7 @@
 A pair has a question and two response fields (a value and an explanation). Tokens of response and question are aligned by
 shingle containment and longest common subsequence to find copies; responses are aligned against refusal templates; empty,
 truncated and foreign-language responses are found from placeholders, endings and function words. All texts are judged
-row by row in Arrow batches; the only shuffle counts words, to tell a cut-off word at the end of a short note.
+row by row in Arrow batches, each by its own row alone; the only shuffle drops repeated rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserine.llm.confusables import prototypes
-from tesserine.runtime import stage
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 # What stands in a field that was left empty (compared without case, quotes, brackets and dots).
@@ -60,6 +59,36 @@ DANGLING = frozenset(
     "el los las un una unos unas y o con para por porque según del al en sin".split()
 )
 NOTE_WORDS = 8  # a note without a final stop is at most this long
+# Words that open a clause, never a note; and words that open a sentence as well as a note.
+CLAUSES = frozenset(
+    "does do did is are was were has have how what which who where when why while whereas because since once if although until unless we they it he she there i you "
+    "wenn weil obwohl während sobald falls ob wir sie er es wer wie warum nachdem "
+    "est-ce pourquoi comment quand lorsque puisque si bien-que nous ils elles il elle on "
+    "cuando aunque mientras porque si nosotros ellos cómo qué cuál quién".split()
+)
+SUBJECTS = frozenset(
+    "the a an this that these those each every its our their der die das den dem ein eine dieser diese dieses jeder jede jedes "
+    "le la les un une ce cette ces chaque el los las una unos unas este esta estos estas cada".split()
+)
+# Words that a note ends in, by language.
+NOTE_ENDS = {
+    "en": "above abstract abstracts amount amounts annex annexes answer answers appendices appendix article articles average averages below body calculation calculations caption captions chapter chapters chart charts "
+    "column columns conclusion conclusions conversion data dataset difference diagram diagrams document documents equation equations estimate estimates figure figures footnote footnotes formula formulas graph graphs here introduction "
+    "items legend legends line lines list lists mean median method methods note notes number numbers only page pages paper papers paragraph paragraphs passage passages percent plot plots product quotient range ratio "
+    "reference references report reports result results row rows section sections sentence sentences source sources study studies sum summary supplement table tables text total totals unit units value values year years",
+    "de": "abbildung abbildungen abschnitt abschnitte absatz angabe angaben anhang anlage artikel bericht differenz diagramm einheit einheiten formel fußnote grafik jahr jahre kapitel legende liste mittel mittelwert oben passage "
+    "quelle quellen rechnung seite seiten spalte spalten studie summe tabelle tabellen text unten wert werte zahl zahlen zeile zeilen zusammenfassung",
+    "fr": "annexe annexes année années article bas calcul chapitre chiffre chiffres colonne colonnes conclusion dessous dessus document données différence figure figures formule graphique légende ligne lignes liste moyenne note notes "
+    "page pages paragraphe passage pied produit rapport résultat résultats résumé section somme source sources tableau tableaux texte total totaux unité unités valeur valeurs étude",
+    "es": "abajo anexo apéndice arriba artículo año años capítulo cifra cifras columna columnas cálculo datos diferencia documento estudio fila filas figura figuras fuente fuentes fórmula gráfico informe leyenda lista línea líneas media "
+    "nota notas página páginas párrafo pasaje pie producto promedio resultado resultados resumen sección suma tabla tablas texto total totales unidad unidades valor valores",
+}
+_NOTE_ENDS = {k: frozenset(v.split()) for k, v in NOTE_ENDS.items()}
+# Endings of derived words; a longer word with one is whole.
+DERIVED = {
+    "en": ("tion", "tions", "sion", "sions", "ment", "ments", "ness", "ity", "ities", "ance", "ence", "ings"), "de": ("ung", "ungen", "heit", "heiten", "keit", "keiten", "schaft"),
+    "fr": ("tion", "tions", "sion", "sions", "ment", "ments", "ité", "ités"), "es": ("ción", "ciones", "sión", "siones", "dad", "dades", "miento", "mientos"),
+}
 
 
 def clean(text: str | None) -> str:
@@ -185,25 +214,51 @@ def _value_breaks_off(value: str, tokens: list) -> bool:
     return held >= 2 and breaks_off(value) != "no"
 
 
-def judge(question: str | None, value: str | None, explanation: str | None, blank: str) -> tuple[str | None, str | None]:
-    """Defect of a pair, or None; and the last word of a note whose soundness turns on it."""
+def is_note(question: str, value: str, note: str) -> bool:
+    """A short text without a final stop is a whole note and no sentence that was cut off; decided by its own row alone.
+
+    It must not open a clause, and its last word must be a whole one that can end a phrase: a word of the question or of the
+    value, a word notes of its language end in, a derived word, or an abbreviation. What begins as a sentence (with an
+    article or the like) must end in a word for notes. In languages without such words only what begins a longer
+    word of the question is cut off.
+    """
+    said, asked = words(note), words(question)
+    if not said:
+        return True
+    last = said[-1]
+    scores = language_scores(f"{question} {note}", asked + said)
+    best = max(scores.values())
+    own = [k for k in scores if scores[k] == best]
+    if said[0] in CLAUSES:
+        return False
+    if any(last in _NOTE_ENDS.get(k, ()) for k in own):
+        return True
+    if said[0] in SUBJECTS or any(last in _LISTS.get(k, ()) for k in own):
+        return False
+    if last in asked or last in words(value) or re.search(r"\w[A-Z][^\W_]*\W*$", note) or len(last) >= 7 and any(last.endswith(DERIVED.get(k, ())) for k in own):
+        return True
+    return not any(k in NOTE_ENDS for k in own) and not any(w.startswith(last) for w in asked)
+
+
+def judge(question: str | None, value: str | None, explanation: str | None, blank: str) -> str | None:
+    """Defect of a pair, or None."""
     q, v, e = clean(question), clean(value), clean(explanation)
     if is_empty(v) or is_empty(e):
-        return "empty", None
+        return "empty"
     qw, vw, ew = words(q), words(v), words(e)
     label = lambda ws: ws[1:] if ws[:1] and ws[0] in ("question", "q", "frage", "pregunta") else ws
     if is_copy(label(vw), qw) or is_copy(label(ew), qw):
-        return "copy", None
+        return "copy"
     if (v != blank and is_refusal(vw)) or is_refusal(ew):
-        return "refusal", None
+        return "refusal"
     ends = breaks_off(e)
     if ends == "yes" or (v != blank and _value_breaks_off(v, vw)):
         # a foreign text may use another full stop, but one without any end is cut off in any language
-        return "truncated", None
+        return "truncated"
     if len(ew) >= NOTE_WORDS or not e.isascii():
         if other_language(q, e):
-            return "language", None
-    return None, (words(e)[-1] if ends == "note" and ew else None)
+            return "language"
+    return "truncated" if ends == "note" and not is_note(q, v, e) else None
 
 
 def broken_pairs(
@@ -213,8 +268,8 @@ def broken_pairs(
 
     A null question cannot be copied and has no language; null responses are empty. `blank` is the value of an abstention:
     with it the explanation says what is missing, which is neither empty nor a refusal. A short explanation without a final
-    stop is a note and sound, unless its last word occurs nowhere inside a text of the table (a word cut off) and no other
-    row has the same note but for its numbers. Repeated
+    stop is a note and sound, unless it opens a clause or its last word is cut off (see is_note); other rows do not count
+    for that, so a row has the same defect in every table. Repeated
     rows count once, rows with a null key take no part, an empty table gives an empty result, other columns are ignored.
     """
     kind = dict(pairs.dtypes)[key]
@@ -223,15 +278,7 @@ def broken_pairs(
     def run(batches):
         for batch in batches:
             q, v, e = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            found = [judge(*x, blank) for x in zip(q, v, e)]
-            shapes = [re.sub(r"\d+", "#", clean(x)) if f[1] else None for f, x in zip(found, e)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in ([f[0] for f in found], [f[1] for f in found], shapes))], ["id", "defect", "last", "shape"])
-
-    judged = rows.mapInArrow(run, f"id {kind}, defect string, last string, shape string").where("defect is not null or last is not null").distinct()
-    judged = stage(judged, "judged-pairs")  # the defects and the few notes; all rows are judged once
-    inside = F.split(F.lower(F.concat_ws(" ", "q", F.regexp_replace("e", r"\S+\s*$", ""))), r"[^\p{L}\p{N}'’]+")
-    known = rows.select(F.explode(inside).alias("last")).where("length(last) > 1").distinct()
-    notes = judged.where("defect is null")
-    usual = notes.groupBy("shape").agg(F.count("*").alias("n")).where("n > 1").select("shape")
-    notes = notes.join(usual, "shape", "left_anti").join(known, "last", "left_anti").select("id", F.lit("truncated").alias("defect"))
-    return judged.where("defect is not null").select("id", "defect").unionByName(notes).distinct().withColumnRenamed("id", key)
+            found = pa.array([judge(*x, blank) for x in zip(q, v, e)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "defect"])
+
+    return rows.mapInArrow(run, f"id {kind}, defect string").where("defect is not null").distinct().withColumnRenamed("id", key)

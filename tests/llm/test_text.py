@@ -66,6 +66,20 @@ def test_cut_off_word_in_a_note(spark):
     assert [tuple(r) for r in pairs.broken_pairs(df).collect()] == [(2, "truncated")]
 
 
+CUT = ["Table 19 lists the est", "Does the evaporative waste heat ne", "Between 2019 and 2021 the audi", "Between 2020 and 2024 the audi", "See Figure 3 of the append", "In Havolen, each local latency target roug", "We compare a sparse re"]
+NOTES = ["See Figure 3 of the appendix", "See Figure 14 of the appendix", "Sum of both rows in Table 5", "Value read from the table", "Read off the shard", "The sum of both rows", "Converted to MWh"]
+
+
+def test_notes_are_judged_by_their_own_row(spark):
+    texts = CUT + NOTES + ["Il est un ne re sc audi append sparse word, audi est ne re append roug here."]  # fragments that are words in another row
+    rows = [(i, Q, "5", e) for i, e in enumerate(texts + texts)]
+    df = spark.createDataFrame(rows, "gen_id long, question string, answer_value string, explanation string")
+    got = {tuple(r) for r in pairs.broken_pairs(df).collect()}
+    assert {i % len(texts) for i, d in got if d == "truncated"} == set(range(len(CUT)))
+    for i, text in enumerate(CUT + NOTES):
+        assert pairs.broken_pairs(df.where(F.col("gen_id") == i)).count() == (i < len(CUT)), text
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
 def test_common_subsequence(a, b):
