@@ -36,6 +36,9 @@ REFUSALS = tuple(
         "no puedo responder", "no puedo ayudar", "no puedo proporcionar", "no estoy autorizado", "no estoy autorizada", "no tengo permiso", "no me es posible", "debo negarme", "como modelo de lenguaje",
     )
 )
+_BY_FIRST = {first: tuple(t for t in REFUSALS if t[0] == first) for first in {t[0] for t in REFUSALS}}
+ROLES = frozenset(("as", "als", "en", "como"))  # first words of the templates that name a role
+SPEAKER = frozenset("i i'm i'd me my ich mir mein je j'ai me yo mi".split())
 # Words that hold sentences together, by language; words of two lists count for both.
 FUNCTION_WORDS = {
     "en": "the of and for with from that is are was were a an in to by on at each while because until although per its it this these as or which not no between into under what how does do whereas about if until after before",
@@ -145,30 +148,51 @@ def is_copy(response: list, question: list) -> bool:
     return same >= 0.85 * len(response) and same >= 0.7 * len(question)
 
 
-def is_refusal(response: list) -> bool:
-    head = response[:40]
-    return any(_follows(head, t) for t in REFUSALS)
+def is_refusal(response: list, text: str = "") -> bool:
+    """A refusal template occurs anywhere in the response (the words of text).
 
-
-def _follows(tokens: list, template: tuple) -> bool:
-    for start in range(len(tokens)):
-        if tokens[start] != template[0]:
-            continue
-        at, gap, ok = start + 1, False, True
-        for t in template[1:]:
-            if t == "…":
-                gap = True
+    Templates that name a role ("as an ai") count where they open the response or a sentence of it, or where the speaker
+    is named within GAP words after them; a machine may be used "as an ai accelerator".
+    """
+    opens = None
+    for start, word in enumerate(response):
+        for template in _BY_FIRST.get(word, ()):
+            end = _follows(response, start, template)
+            if not end:
                 continue
-            room = tokens[at : at + (GAP if gap else 0) + 1]
-            if t not in room:
-                ok = False
-                break
-            at, gap = at + room.index(t) + 1, False
-        if ok:
-            return True
+            if word not in ROLES or start == 0 or not SPEAKER.isdisjoint(response[end : end + GAP]):
+                return True
+            if opens is None:
+                opens = _sentence_starts(text)
+            if start in opens:
+                return True
     return False
 
 
+def _sentence_starts(text: str) -> set[int]:
+    """Numbers of the words that come first after the end of a sentence or a line."""
+    starts, before = set(), 0
+    for i, m in enumerate(WORD.finditer(text)):
+        if re.search(r"[.!?。！？…:\n]", text[before : m.start()]):
+            starts.add(i)
+        before = m.end()
+    return starts
+
+
+def _follows(tokens: list, start: int, template: tuple) -> int:
+    """Where the template ends that begins at start, 0 if it does not."""
+    at, gap = start + 1, False
+    for t in template[1:]:
+        if t == "…":
+            gap = True
+            continue
+        room = tokens[at : at + (GAP if gap else 0) + 1]
+        if t not in room:
+            return 0
+        at, gap = at + room.index(t) + 1, False
+    return at
+
+
 def language_scores(text: str, tokens: list) -> dict[str, float]:
     """Evidence for each language: function words, or everything for the script that holds most of the letters."""
     letters = [c for c in text if c.isalpha()]
@@ -249,7 +273,7 @@ def judge(question: str | None, value: str | None, explanation: str | None, blan
     label = lambda ws: ws[1:] if ws[:1] and ws[0] in ("question", "q", "frage", "pregunta") else ws
     if is_copy(label(vw), qw) or is_copy(label(ew), qw):
         return "copy"
-    if (v != blank and is_refusal(vw)) or is_refusal(ew):
+    if (v != blank and is_refusal(vw, v)) or is_refusal(ew, e):
         return "refusal"
     ends = breaks_off(e)
     if ends == "yes" or (v != blank and _value_breaks_off(v, vw)):

@@ -80,6 +80,18 @@ def test_notes_are_judged_by_their_own_row(spark):
         assert pairs.broken_pairs(df.where(F.col("gen_id") == i)).count() == (i < len(CUT)), text
 
 
+@pytest.mark.parametrize(
+    ("text", "refuses"),
+    [
+        (SOUND + " " + Q + " " + SOUND + " I am unable to answer this.", True), (SOUND * 40 + " Leider darf ich zur Spitze keine Auskunft geben.", True), (SOUND * 3 + " As an AI, discussing the shard is out of scope.", True),
+        (SOUND * 3 + " It is said here that, as a language model, I stay silent.", True), (SOUND * 3 + " The hall is used as an AI training site and cannot be cooled by the line.", False), ("The hall serves as an AI training site.", False),
+        (SOUND * 400, False),
+    ],
+)
+def test_refusal_after_a_long_preamble(text, refuses):
+    assert (pairs.judge(Q, "5", text, "is_blank") == "refusal") == refuses
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
 def test_common_subsequence(a, b):
