@@ -42,17 +42,32 @@ def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.text_windows(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of every document without a line of over 400 tokens packed up to 400 tokens, in order."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
-    lines = lines.where(F.size(T.words(F.col("text"))) > 0).select(
+def _lines(documents: DataFrame) -> DataFrame:
+    """The lines of documents that are not blank, as blocks of one section."""
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    return lines.where(F.size(T.words(F.col("text"))) > 0).select(
         F.col("doc_id").cast("string").alias("doc_id"), "block_no", F.lit("text").alias("kind"), "text", F.array(F.lit("all")).alias("heading_path")
     )
-    over = lines.where(T.approx_tokens(F.col("text")) > chunking.HYBRID.limit).select("doc_id").distinct()
-    packed = chunking.packed(lines.join(over, "doc_id", "left_anti"), chunking.HYBRID)
+
+
+def packed_text(lines: DataFrame) -> DataFrame:
+    """(doc_id, chunk_no, lines, tokens) of lines packed up to 400 tokens, in order; a line with parts in two chunks counts in both."""
+    packed = chunking.packed(lines, chunking.HYBRID)
     return packed.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "chunk_no").agg(F.countDistinct("block_no").alias("lines"), F.sum("size").alias("tokens"))
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document packed up to 400 tokens, in order; lines of over 400 tokens fall into sentences, those into windows of words."""
+    return packed_text(_lines(load(spark, sf_dir, "documents")))
+
+
+def packed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """packed_documents of the documents without a line of over 400 tokens, which are those its SQL covers."""
+    lines = _lines(load(spark, sf_dir, "documents"))
+    over = lines.where(T.approx_tokens(F.col("text")) > chunking.HYBRID.limit).select("doc_id").distinct()
+    return packed_text(lines.join(over, "doc_id", "left_anti"))
+
+
 def section_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of neighbouring blocks with the same heading path."""
     found = ordered.runs(_blocks(spark, sf_dir).select("doc_id", "block_no", "heading_path"), ["doc_id"], "block_no", "heading_path", "section_no")
@@ -222,7 +237,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        approx_tokens, sentence_split, fixed_windows, packed_lines, section_runs, hybrid_chunks, section_chunks, fixed_chunks, parsed_blocks, parsed_chunks, table_markdown,
+        approx_tokens, sentence_split, fixed_windows, packed_documents, packed_lines, section_runs, hybrid_chunks, section_chunks, fixed_chunks, parsed_blocks, parsed_chunks, table_markdown,
         kept_sections, section_names, min_tokens, heading_prefix, dense_ids, citation_columns, corpus_join, block_context, embed_hashes, index_diff, changed_chunks, fresh_hits,
         first_texts, kind_counts, snapshot_counts, version_checks, event_windows,
     )

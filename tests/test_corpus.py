@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tesserine.functions import text as T
 from tesserine.operators import chunking, enrich, incremental, ordered
 from tesserine.operators.headings import HeadingPath, roman
-from tesserine.plans import strategies
+from tesserine.plans import corpus, strategies
 from tesserine.sources import files, parsed
 
 
@@ -226,3 +226,43 @@ def test_event_counts_of_a_stream(spark, tmp_path):
     run.awaitTermination()
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, event_counts(events).collect()))
     assert spark.table("counted").count() == 8
+
+
+def brute_packed(text):
+    """(lines, tokens) of every chunk, one unit at a time."""
+    tokens = lambda words: math.ceil(len(words) * 1.3)
+    units = []
+    for no, line in enumerate(text.split("\n")):
+        if tokens(line.split()) <= 400:
+            units += [(no, tokens(line.split()))] if line.split() else []
+            continue
+        held: list = []
+        spaced = line.replace(". ", ".\n").split("\n")  # the fixture's sentences end in ". " before a capital
+        for sentence in (s.split() for s in spaced):
+            for part in [sentence[i : i + 307] for i in range(0, len(sentence), 307)]:
+                if held and tokens(held + part) > 400:
+                    units.append((no, tokens(held)))
+                    held = []
+                held = held + part
+        units.append((no, tokens(held)))
+    chunks: list = []
+    for no, n in units:
+        if not chunks or sum(m for _, m in chunks[-1]) + n > 400:
+            chunks.append([])
+        chunks[-1].append((no, n))
+    if len(chunks) > 1 and sum(m for _, m in chunks[-1]) < 50 and sum(m for _, m in chunks[-1] + chunks[-2]) <= 450:
+        chunks[-2:] = [chunks[-2] + chunks[-1]]
+    return [(len({no for no, _ in c}), sum(m for _, m in c)) for c in chunks]
+
+
+def test_packed_documents_keep_oversized_lines(spark, tmp_path):
+    rng = random.Random(3)
+    sentence = lambda: "W" + "w " * rng.randint(1, 120) + "end."
+    line = lambda n: " ".join(sentence() for _ in range(n))
+    texts = ["\n".join(rng.choice([line(1), line(3), line(30), "", " "]) for _ in range(rng.randint(1, 12))) + "\nshort" for _ in range(30)]
+    texts += ["w " * 307, "w " * 308, "w " * 2000 + "\na\nb", "a\n" + "w " * 700 + "end. " + line(9), line(200), "a b\nc"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.chunk_no): (r.lines, r.tokens) for r in corpus.packed_documents(spark, str(tmp_path)).collect()}
+    assert got == {(i, n): chunk for i, t in enumerate(texts) for n, chunk in enumerate(brute_packed(t))}
+    some = {(r.doc_id, r.chunk_no): (r.lines, r.tokens) for r in corpus.packed_lines(spark, str(tmp_path)).collect()}
+    assert some.items() < got.items() and {i for i, _ in got} == set(range(len(texts)))
