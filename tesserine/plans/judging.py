@@ -74,6 +74,14 @@ def export_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.export_problems(asked, rows.where("run_id = 'run-01'"))
 
 
+def export_problems_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands against exporting the answers of each run as they are; the unit of a question is the one most answers have (the smallest of equally frequent ones)."""
+    rows = load(spark, sf_dir, "generation").drop("created_at").distinct()
+    units = rows.groupBy("id", "question", "answer_unit").agg(F.count("*").alias("n")).groupBy("id", "answer_unit").agg(F.sum("n").alias("n"), F.min("question").alias("q"))
+    asked = units.where("id is not null").groupBy("id").agg(F.min("q").alias("question"), F.min(F.struct((-F.col("n")).alias("m"), "answer_unit"))["answer_unit"].alias("answer_unit"))
+    return answers.export_problems(asked, rows, "run_id")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every answer scored against the answer that most runs give to its question (the smallest of equally frequent ones)."""
     rows = _generation(spark, sf_dir, "id", "answer_value", "answer_unit", "ref_id").where("id is not null and answer_value is not null")
@@ -154,7 +162,7 @@ def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        numbers_in, reply_numbers, figure_mentions, caption_lines, answer_types, ungrouped_values, tidy_values, parsed_refs, quote_status, export_problems, error_buckets, points_lost,
+        numbers_in, reply_numbers, figure_mentions, caption_lines, answer_types, ungrouped_values, tidy_values, parsed_refs, quote_status, export_problems, export_problems_by_run, error_buckets, points_lost,
         score_by_type, value_recall, chart_readings, chart_answers, validated_answers,
     )
 }

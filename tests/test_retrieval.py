@@ -114,6 +114,9 @@ def test_export_and_tables(spark):
     rows = [("1", *good), ("1", *good), ("2", "b", "x", "is_blank", "u", "r", "is_blank", "is_blank", "e"), ("3", "changed", *good[1:]), ("9", *good)]
     df = frame(spark, rows, "id string, question string, answer string, answer_value string, answer_unit string, ref_id string, ref_url string, supporting_materials string, explanation string")
     assert {tuple(r) for r in answers.export_problems(q, df).collect()} == {("1", "repeated id"), ("2", "abstention with evidence"), ("3", "changed input"), ("4", "missing id"), ("9", "unknown id")}
+    runs = df.where("id <> '9'").withColumn("run_id", F.lit("b")).unionByName(df.where("id = '1'").distinct().withColumn("run_id", F.lit("a")))
+    want = {("b", "1", "repeated id"), ("b", "2", "abstention with evidence"), ("b", "3", "changed input"), ("b", "4", "missing id"), *(("a", i, "missing id") for i in "234")}
+    assert {tuple(r) for r in answers.export_problems(q, runs, "run_id").collect()} == want
     chunks = frame(spark, [("t1", "d", "Table 1: x | y"), ("t2", "d", "Table II x | y"), ("o1", "o", "Table 1 | z"), ("p", "d", "see table ii, Tab. 1 and Table 1"), ("n", "d", "Table 3 prose")], "item_id string, doc_id string, text string")
     found = answers.mentioned_tables(frame(spark, [(1, 1, "p")], "query_id long, rank int, item_id string"), chunks, 5).orderBy("added_no").collect()
     assert [r.item_id for r in found] == ["t2", "t1"]
