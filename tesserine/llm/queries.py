@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import unicodedata
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,17 +95,27 @@ QUERIES = {
     )
 }
 
-_ALIKE = {chr(k): v for k, v in confusables.prototypes().items()}
-_ONE = {k: unicodedata.normalize("NFC", v) for k, v in _ALIKE.items() if v and len(unicodedata.normalize("NFC", v)) == 1}
-_MANY = {k: v for k, v in _ALIKE.items() if v and k not in _ONE and unicodedata.decomposition(k).startswith("<compat>")}
-_FROM = "".join(_ONE) + "".join(k for k, v in _ALIKE.items() if not v)
-_TO = "".join(_ONE.values()).replace("'", "''")
+# Fixed values of the SQL, written down from the statement of problem 2 and not from the operator's table: invisible characters,
+# single blanks, full-width forms (a range), ligatures, and letters of other scripts with the Latin letter they look like.
+_INVISIBLE = "\u00ad\u034f\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_WIDE = range(0xFF01, 0xFF5F)
+_LIGATURES = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st"}
+_LETTERS = {
+    "Greek": ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲ", "ABEZHIKMNOPTYXoc"),
+    "Cyrillic": ("АВЕЅІЈКМНОРСТУХҺаеорсухѕіјһԁ", "ABESIJKMHOPCTYXHaeopcyxsijhd"),
+    "Armenian": ("օ", "o"),
+}
+_FROM = _BLANKS + "".join(map(chr, _WIDE)) + "".join(a for a, _ in _LETTERS.values()) + _INVISIBLE
+_TO = " " * len(_BLANKS) + "".join(chr(c - 0xFEE0) for c in _WIDE) + "".join(b for _, b in _LETTERS.values())
 
 
 def _form(text: str) -> str:
-    for k, v in _MANY.items():
-        text = f"replace({text}, '{k}', '{v}')"
-    return f"nfc_normalize(translate(nfc_normalize({text}), '{_FROM}', '{_TO}'))"
+    """A value's look in SQL; plain ASCII, which is most, looks like itself."""
+    made = f"translate(nfc_normalize({text}), '{_FROM}', '{_TO.replace(chr(39), chr(39) * 2)}')"
+    for k, v in _LIGATURES.items():
+        made = f"replace({made}, '{k}', '{v}')"
+    return f"CASE WHEN regexp_matches({text}, '[^\\x00-\\x7F]') THEN nfc_normalize({made}) ELSE {text} END"
 
 
 SQL = {
@@ -115,8 +124,13 @@ WITH v AS (
   SELECT DISTINCT 'block.text' AS field, block_id AS key, '' AS scope, text AS raw FROM blocks WHERE text IS NOT NULL
   UNION ALL SELECT DISTINCT 'chunk.text', chunk_id, '', text FROM chunks WHERE text IS NOT NULL
   UNION ALL SELECT DISTINCT 'chunk.heading_path', chunk_id, doc_id, array_to_string(heading_path, chr(1)) FROM chunks WHERE heading_path IS NOT NULL),
-f AS (SELECT *, {_form('raw')} AS form FROM v)
-SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi FROM f a JOIN f b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.raw < b.raw AND a.key <> b.key
+f AS (SELECT field, key, scope, raw, md5({_form('raw')}) AS form FROM v),
+m AS (SELECT field, scope, form FROM f GROUP BY ALL HAVING min(raw) <> max(raw)),
+g AS (SELECT f.* FROM f SEMI JOIN m USING (field, scope, form))
+SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi FROM g a JOIN g b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.raw < b.raw AND a.key <> b.key
+""",
+    "p2_unified": f"""
+SELECT DISTINCT chunk_id, {_form('text')} AS text, list_transform(heading_path, lambda h: {_form('h')}) AS heading_path FROM chunks
 """,
     "p4_found": f"""
 SELECT DISTINCT 'block' AS item_table, block_id AS item_key FROM blocks WHERE {tokens_sql('text')} > 400
