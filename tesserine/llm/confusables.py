@@ -21,12 +21,14 @@ from pyspark.sql.types import StructType
 LOOK_ALIKES = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ρp ϲc ϳj ιı αɑ γɣ "
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҺH ԚQ ԜW ԌG аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv ӏl ґґ "
-    "ՕO ՏS օo սu հh ցg զq ոn ռn յj ԱU ℓl ıı ȷȷ ɡg ɑɑ ꜱꜱ "
+    "ՕO ՏS օo սu հh ցg զq ոn ռn յj ԱU ℓl ɡg ꜱs ᴄc ᴏo ᴠv ᴡw ᴢz ӀI ʼ’ "
     "ᎪA ᏴB ᏟC ᎠD ᎬE ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ "
     "ⲞO ⲟo ⲤC ⲥc ⲢP ⲣp ⲎH ⲘM ⲚN ⲔK ⲦT ⲨY ⲬX ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
 )
 # Hyphens that print as the plain one.
 SAME_MARKS = {"‐": "-", "‑": "-", "­": ""}
+# Names of compatibility characters that print as what they decompose to.
+SAME_PRINT = ("ROMAN NUMERAL", "SMALL ROMAN NUMERAL", "KANGXI RADICAL", "CJK RADICAL")
 # Decompositions whose result looks the same as the character itself; <super>, <sub>, <fraction>, <circle>, <square> differ visibly.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
@@ -40,7 +42,8 @@ def _resolved(ch: str) -> str:
     if tag and tag not in SAME_LOOK:
         return ch
     parts = "".join(chr(int(x, 16)) for x in rest.split())
-    if tag == "<compat>" and "LIGATURE" not in unicodedata.name(ch, "") and not 0x1C4 <= ord(ch) <= 0x1F3 and ch != "µ":
+    name = unicodedata.name(ch, "")
+    if tag == "<compat>" and "LIGATURE" not in name and not name.startswith(SAME_PRINT) and not 0x1C4 <= ord(ch) <= 0x1F3 and ch != "µ":
         return ch  # spacing accents, dots, numbered forms and variant letters keep their own look
     return "".join(map(_resolved, parts))
 
@@ -115,8 +118,13 @@ def _joined(path: Column) -> Column:
     return F.array_join(F.transform(path, lambda p: F.coalesce(p, F.lit("\u0001"))), "\u0000")
 
 
+def _digest(text: Column, name: str) -> tuple[Column, Column]:
+    """128 bits as two numbers, which aggregate by hash where binary values would be sorted."""
+    return F.xxhash64(text).alias(f"{name}1"), F.xxhash64(F.lit(name), text).alias(f"{name}2")
+
+
 def forms(df: DataFrame, key: str, value: str, scope: str | None = None) -> DataFrame:
-    """(key, scope, form, raw): 128-bit digests of the skeleton and of the value itself, one row per key and value; null values take no part.
+    """(key, scope, form1, form2, raw1, raw2): 128-bit digests of the skeleton and of the value itself, one row per key and value; null values take no part.
 
     value: a text or array of text column; arrays compare element by element.
     """
@@ -126,16 +134,23 @@ def forms(df: DataFrame, key: str, value: str, scope: str | None = None) -> Data
         F.col(key).alias("key"), (F.col(scope) if scope else F.lit("")).alias("scope"), text.alias("text")
     )
     ascii_only = ~F.col("text").rlike(r"[^\x00-\x7F]")
-    raw = F.unhex(F.md5("text"))
-    plain = rows.where(ascii_only).select("key", "scope", raw.alias("form"), raw.alias("raw"))
+    raw, text = _digest(F.col("text"), "raw"), F.col("text")
+    same = [F.xxhash64(text).alias("form1"), F.xxhash64(F.lit("raw"), text).alias("form2")]
+    plain = rows.where(ascii_only).select("key", "scope", *same, *raw)
 
     def run(batches):
         for batch in batches:
-            table = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([skeleton(t) for t in table], pa.string())], ["key", "scope", "raw", "text"])
+            made = pa.array([skeleton(t) for t in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made, batch.column(3), batch.column(4)], ["key", "scope", "text", "raw1", "raw2"])
+
+    other = rows.where(~ascii_only).select("key", "scope", "text", *raw).mapInArrow(run, "key string, scope string, text string, raw1 long, raw2 long")
+    return plain.unionByName(other.select("key", "scope", *same, "raw1", "raw2")).distinct()
+
 
-    other = rows.where(~ascii_only).select("key", "scope", "text", raw.alias("raw")).mapInArrow(run, "key string, scope string, raw binary, text string")
-    return plain.unionByName(other.select("key", "scope", raw.alias("form"), "raw")).distinct()
+def _mixed(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The groups that hold two different values."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("raw1", "raw2") for n, f in (("least", F.min), ("most", F.max))]
+    return rows.groupBy(*group).agg(*ends).where("least_raw1 <> most_raw1 or least_raw2 <> most_raw2").select(*group)
 
 
 def look_alikes(rows: DataFrame, *by: str) -> DataFrame:
@@ -143,11 +158,23 @@ def look_alikes(rows: DataFrame, *by: str) -> DataFrame:
 
     A listing of pairs is as long as it has pairs; only groups that hold two different values are joined, value against
     other value, so copies of the same value are never paired. Large groups are split by the engine's skew handling.
+    Where a listing of pairs is not what is needed, look_alike_classes gives one row a key.
+    """
+    group = [*by, "scope", "form1", "form2"]
+    rows = rows.join(_mixed(rows, group), group)
+    a, b = (rows.select(*group, F.col("key").alias(f"key_{x}"), F.col("raw1").alias(f"one_{x}"), F.col("raw2").alias(f"two_{x}")) for x in "ab")
+    pairs = a.join(b, group).where("key_a < key_b and (one_a <> one_b or two_a <> two_b)")
+    return pairs.select(*by, F.col("key_a").alias("key_lo"), F.col("key_b").alias("key_hi"))
+
+
+def look_alike_classes(rows: DataFrame, *by: str) -> DataFrame:
+    """(*by, key, class_key, links): every key that looks like one with another value, from the rows of forms(); one row a key and class.
+
+    class_key is the smallest key of the class, links the number of its keys whose value differs from this one's. Counts by
+    value combine before they are moved, so a class of any size costs a row a partition and value, and no pairs are formed.
     """
-    group = [*by, "scope", "form"]
-    mixed = rows.groupBy(*group).agg(F.min("raw").alias("least"), F.max("raw").alias("most")).where("least <> most").select(*group)
-    rows = rows.join(mixed, group)
-    a = rows.select(*group, F.col("key").alias("key_a"), F.col("raw").alias("raw_a"))
-    b = rows.select(*group, F.col("key").alias("key_b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, group).where("raw_a < raw_b and key_a <> key_b")
-    return pairs.select(*by, F.least("key_a", "key_b").alias("key_lo"), F.greatest("key_a", "key_b").alias("key_hi"))
+    group, value = [*by, "scope", "form1", "form2"], ["raw1", "raw2"]
+    each = rows.groupBy(*group, *value).agg(F.count("*").alias("same"), F.min("key").alias("first"))
+    whole = each.groupBy(*group).agg(F.sum("same").alias("all"), F.min("first").alias("class_key"), F.count("*").alias("values")).where("values > 1")
+    known = each.join(whole, group).select(*group, *value, "class_key", (F.col("all") - F.col("same")).alias("links"))
+    return rows.join(known, [*group, *value]).select(*by, "key", "class_key", "links")

@@ -23,16 +23,24 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.most_similar(load(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=64)
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of blocks, chunks and heading paths (of one paper) that look the same but differ in their characters."""
+def _p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks, chunks = load(spark, sf_dir, "blocks"), load(spark, sf_dir, "chunks")
     parts = (
         confusables.forms(blocks, "block_id", "text").withColumn("field", F.lit("block.text")),
         confusables.forms(chunks, "chunk_id", "text").withColumn("field", F.lit("chunk.text")),
         confusables.forms(chunks, "chunk_id", "heading_path", scope="doc_id").withColumn("field", F.lit("chunk.heading_path")),
     )
-    rows = reduce(DataFrame.unionByName, parts)
-    return confusables.look_alikes(stage(rows, "forms"), "field")
+    return stage(reduce(DataFrame.unionByName, parts), "forms")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of blocks, chunks and heading paths (of one paper) that look the same but differ in their characters."""
+    return confusables.look_alikes(_p2_forms(spark, sf_dir), "field")
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of these pairs, each with its class and its number of links."""
+    return confusables.look_alike_classes(_p2_forms(spark, sf_dir), "field")
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +98,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_neighbours, p2_found, p2_unified, p3_found, p4_found, p4_pieces,
+        p1_found, p1_neighbours, p2_found, p2_classes, p2_unified, p3_found, p4_found, p4_pieces,
         p8_containers, p8_used, p9_mixture, p9_shares, p10_found, p10_shares,
     )
 }
@@ -118,8 +126,7 @@ def _form(text: str) -> str:
     return f"CASE WHEN regexp_matches({text}, '[^\\x00-\\x7F]') THEN nfc_normalize({made}) ELSE {text} END"
 
 
-SQL = {
-    "p2_found": f"""
+_P2 = f"""
 WITH v AS (
   SELECT DISTINCT 'block.text' AS field, block_id AS key, '' AS scope, text AS raw FROM blocks WHERE text IS NOT NULL
   UNION ALL SELECT DISTINCT 'chunk.text', chunk_id, '', text FROM chunks WHERE text IS NOT NULL
@@ -127,7 +134,14 @@ WITH v AS (
 f AS (SELECT field, key, scope, raw, md5({_form('raw')}) AS form FROM v),
 m AS (SELECT field, scope, form FROM f GROUP BY ALL HAVING min(raw) <> max(raw)),
 g AS (SELECT f.* FROM f SEMI JOIN m USING (field, scope, form))
-SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi FROM g a JOIN g b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.raw < b.raw AND a.key <> b.key
+"""
+
+SQL = {
+    "p2_found": _P2
+    + """SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi FROM g a JOIN g b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.raw < b.raw AND a.key <> b.key
+""",
+    "p2_classes": _P2
+    + """SELECT field, key, min(key) OVER c AS class_key, count(*) OVER c - count(*) OVER (PARTITION BY field, scope, form, raw) AS links FROM g WINDOW c AS (PARTITION BY field, scope, form)
 """,
     "p2_unified": f"""
 SELECT DISTINCT chunk_id, {_form('text')} AS text, list_transform(heading_path, lambda h: {_form('h')}) AS heading_path FROM chunks
