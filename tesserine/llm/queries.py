@@ -95,11 +95,16 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_shares(spark, sf_dir).where("shared_chars > 0").select("doc_id")
 
 
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the sentences that a non-first repeated span covers."""
+    return spans.without_repeats(load(spark, sf_dir, "documents"), "doc_id", "text", least=200)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_neighbours, p2_found, p2_classes, p2_unified, p3_found, p4_found, p4_pieces,
-        p8_containers, p8_used, p9_mixture, p9_shares, p10_found, p10_shares,
+        p8_containers, p8_used, p9_mixture, p9_shares, p10_found, p10_shares, p10_kept,
     )
 }
 
@@ -158,6 +163,20 @@ s AS (SELECT w.doc_id, i, w.doc_id = first AS own, least(coalesce(lead(i) OVER (
 t AS (SELECT doc_id, CAST(sum(a) AS BIGINT) AS shared, CAST(coalesce(sum(b) FILTER (WHERE NOT own), 0) AS BIGINT) AS later FROM s GROUP BY doc_id)
 SELECT d.doc_id, length(coalesce(text, '')) AS n_chars, coalesce(shared, 0) AS shared_chars, coalesce(shared - later, 0) AS first_chars,
   CASE WHEN length(coalesce(text, '')) > 0 THEN coalesce(shared, 0) / length(text)::DOUBLE ELSE 0 END AS share FROM documents d LEFT JOIN t USING (doc_id)
+""",
+    "p10_kept": """
+WITH w AS (SELECT doc_id, i, hash(text[i : i + 199]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+r AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+l AS (SELECT DISTINCT doc_id, i FROM w JOIN r USING (h) WHERE doc_id <> first),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM (
+  SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS new FROM l)),
+c AS (SELECT doc_id, min(i) - 1 AS s, max(i) + 199 AS e FROM g GROUP BY doc_id, part),
+t AS (SELECT doc_id, list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?][ \\t\\r\\f\\v\\n]+|\\n+)', '\\1' || chr(31), 'g'), chr(31)), lambda x: x <> '') AS l, text FROM documents),
+u AS (SELECT doc_id, k, l[k] AS x FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM t)),
+p AS (SELECT doc_id, k, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM u),
+q AS (SELECT doc_id, k, x, EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND s <= b - length(x) AND b <= e) AS gone FROM p),
+a AS (SELECT doc_id, string_agg(x, '' ORDER BY k) FILTER (WHERE NOT gone) AS kept, count(*) AS n, count(*) FILTER (WHERE gone) AS m FROM q GROUP BY doc_id)
+SELECT t.doc_id, CASE WHEN t.text IS NOT NULL THEN coalesce(kept, '') END AS text, coalesce(n, 0) AS sentences, coalesce(m, 0) AS removed FROM t LEFT JOIN a USING (doc_id)
 """,
     "p10_found": """
 WITH w AS (SELECT doc_id, hash(text[i : i + 199]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),

@@ -166,6 +166,50 @@ def brute_shares(docs, least):
     return out
 
 
+def test_hot_spans_match_brute_force(spark):
+    """A group that holds most records, whose members leave each other at many places, and runs that repeat within a record."""
+    rng = random.Random(10)
+    noise = lambda n: "".join(rng.choices("abcdefghij .", k=n))
+    stem, docs = noise(900), []
+    for i in range(70):
+        a, b = sorted(rng.sample(range(900), 2))
+        middle = stem[a:b] if rng.random() < 0.8 else stem[a:b] + noise(rng.randint(0, 9)) + stem[a:b]
+        docs.append((i, noise(rng.choice([0, 0, 5, 300])) + "xy"[: rng.randint(0, 2)] + middle + "uv"[: rng.randint(0, 2)] + noise(rng.choice([0, 0, 5, 300]))))
+    docs += [(100 + i, docs[i][1]) for i in range(8)]
+    want = brute_shares(docs, 200)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.shared_chars, r.first_chars) for r in spans.shared_spans(df, "doc_id", "text").collect()}
+    assert got == want and sum(s > 0 for s, _ in want.values()) > 40
+    kept = {r.doc_id: r for r in spans.without_repeats(df, "doc_id", "text").collect()}
+    assert all(kept[100 + i].text == "" or want[100 + i][0] == 0 for i in range(8)) and all(k.removed <= k.sentences for k in kept.values())
+
+
+def test_runs_of_sentences():
+    import numpy as np
+
+    rng = random.Random(11)
+    text = "".join(rng.choices("abc. ", k=5000))
+    parts = [text, "short", "q" * 700, ("z" * 150 + ". ") * 30]
+    number, start, h = spans.sentence_runs(parts, 200)
+    for i in (0, 3):
+        own = start[number == i]
+        for p in range(len(parts[i]) - 199):  # every span of 200 characters holds a whole run
+            assert ((own >= p) & (own + spans.RUN <= p + 200)).any()
+    assert 1 not in number
+    old, spans.SEGMENT = spans.SEGMENT, 700
+    try:
+        assert all(np.array_equal(a, b) for a, b in zip(spans.sentence_runs(parts, 200), (number, start, h)))
+    finally:
+        spans.SEGMENT = old
+    for _ in range(300):
+        a, b = "".join(rng.choices("ab", k=rng.randint(0, 90))), "".join(rng.choices("ab", k=rng.randint(0, 90)))
+        a, b = (a + "x" * 200, b + "x" * 199 + "y") if rng.random() < 0.5 else (a, b)
+        i, j = rng.randint(0, len(a)), rng.randint(0, len(b))
+        n = next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))
+        m = next((k for k in range(min(i, j)) if a[i - 1 - k] != b[j - 1 - k]), min(i, j))
+        assert spans.common_after(a, b, i, j) == n and spans.common_before(a, b, i, j) == m
+
+
 def test_shared_spans_match_brute_force(spark):
     rng = random.Random(9)
     sentence = lambda: " ".join("".join(rng.choices("abcdefgé", k=rng.randint(1, 9))) for _ in range(rng.randint(2, 25))) + rng.choice([". ", "! ", "\n", " "])
