@@ -231,15 +231,16 @@ def _spans(unique: DataFrame, kind: str, least: int) -> DataFrame:
             places = _placed(texts, wanted, least)
             out: list[list] = [[] for _ in range(8)]
             for n, (x, y, tx, ty, rs) in enumerate(rows):
-                here, there, ends = places[at[x]], places[at[y]], {}
+                here, there, ends, matches = places[at[x]], places[at[y]], {}, []
                 for i, j, h, star in sorted((here[r["h"]][0], there[r["h"]][0], r["h"], r["star"]) for r in rs):
                     s, e = ends.get(i - j, (0, 0))
                     if not s <= i < e:
                         s, e = i - common_before(tx, ty, i, j), i + common_after(tx, ty, i, j)
-                        ends[i - j] = (s, e)
+                        ends[i - j] = (s, e)  # the last match of this shift; runs come in order
+                        matches.append((i - j, s, e))
                     if star:
                         _borders(out, n, ty, h, j, s - i + j, e - i + j, least)
-                for shift, (s, e) in ends.items():
+                for shift, s, e in matches:
                     if e - s >= least:
                         for row in ((n, 0, s, e, False, None, None, None), (n, 1, s - shift, e - shift, True, None, None, None)):
                             for column, v in zip(out, row):

@@ -176,6 +176,8 @@ def test_hot_spans_match_brute_force(spark):
         middle = stem[a:b] if rng.random() < 0.8 else stem[a:b] + noise(rng.randint(0, 9)) + stem[a:b]
         docs.append((i, noise(rng.choice([0, 0, 5, 300])) + "xy"[: rng.randint(0, 2)] + middle + "uv"[: rng.randint(0, 2)] + noise(rng.choice([0, 0, 5, 300]))))
     docs += [(100 + i, docs[i][1]) for i in range(8)]
+    one, two = noise(210), noise(230)
+    docs += [(200, one + noise(150) + two), (201, one + noise(150) + two)]  # two spans at the same distance
     want = brute_shares(docs, 200)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.shared_chars, r.first_chars) for r in spans.shared_spans(df, "doc_id", "text").collect()}
