@@ -1,21 +1,22 @@
 """Several values packed in one field, split into one value per row with its position.
 
-The delimiters of a source (here: a field) are inferred from all of its rows: each candidate is scored by how regular the
-pieces are that it makes (their types are the types of the source's undivided values) and how consistent (all pieces of a
-row have one type, in row after row). Quoted and bracketed lists are read by their own syntax. A row is split by the
-accepted delimiters that occur in it, the strongest first, only where all pieces come out regular.
+The delimiters of a source (here: a field) are inferred from all of its rows: each candidate is scored by how consistent
+the number of pieces is that it makes from row to row, and by how regular their types are (the types of the source's
+undivided values, one type a row). Quoted and bracketed lists are read by their own syntax. The delimiters are chosen once
+a source; a row is split by those of them that occur in it, the strongest first, only where all pieces come out regular.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserine.runtime import stage
+from tesserine.runtime import once, stage
 
 # Candidate delimiters, strongest first; the name is what scores are kept by.
 CANDIDATES = {
@@ -24,7 +25,7 @@ CANDIDATES = {
 }
 _DELIMITERS = {name: re.compile(pattern) for name, pattern in CANDIDATES.items()}
 WITHIN_SENTENCES = frozenset(("spaced comma", "and", "comma", "blank", "ampersand"))  # these never part sentences
-ACCEPT = 0.5  # least score of a delimiter
+ACCEPT = 0.3  # least score of a delimiter
 COMMON = 0.02  # least share of a type among the undivided values of its source
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
 _QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
@@ -41,8 +42,15 @@ _CODE = re.compile(r"(?=[^\s]*\d)(?=[^\s]*[^\W\d_])[\w.:\-]+")
 _NAME = re.compile(r"[^\W\d_a-zß-öø-ÿ][\w.'’\-]*(?:\s+(?:[^\W\d_a-zß-öø-ÿ][\w.'’\-]*|of|de|la|von|der)){0,3}")
 
 
+CACHED = 64  # characters of a piece whose type is remembered
+
+
 def kind_of(piece: str) -> str:
     """Type of a piece: url, number, amount, code, name, sentence, or loose (words that are none of these)."""
+    return _short_kind(piece) if len(piece) <= CACHED else _kind(piece)
+
+
+def _kind(piece: str) -> str:
     if not piece:
         return "empty"
     if _SCHEME.match(piece):
@@ -60,6 +68,7 @@ def kind_of(piece: str) -> str:
     return "sentence" if words >= 5 and (first.isupper() or first.isdigit()) else "loose"
 
 
+_short_kind = lru_cache(1 << 16)(_kind)
 REGULAR = frozenset(("url", "number", "amount", "code", "name", "sentence"))
 ALIKE = {"amount": "number"}  # types that may stand side by side in one list
 
@@ -79,6 +88,10 @@ def _unquoted(piece: str) -> str:
     return piece
 
 
+_STOPS = {end: re.compile(f"[\\\\{end}]") for end in set(_QUOTES.values())}
+_BETWEEN = re.compile(r"[\s,;|&/\-]*(?:and|und|et|y)?[\s,;|&/\-]*")
+
+
 def quoted_list(text: str) -> list[str] | None:
     """The elements of a list of quoted values with anything short between them, or None where text is not one."""
     i, out = 0, []
@@ -88,26 +101,30 @@ def quoted_list(text: str) -> list[str] | None:
             return None
         end, got, i = _QUOTES[q], [], i + 1
         while True:
-            if i >= len(text):
+            stop = _STOPS[end].search(text, i)
+            if stop is None:
                 return None
-            c = text[i]
-            if c == "\\" and i + 1 < len(text) and text[i + 1] in "\"'\\/nt":
-                got.append({"n": "\n", "t": "\t"}.get(text[i + 1], text[i + 1]))
-                i += 2
-            elif c == end and end == q and text[i + 1 : i + 2] == q and got:
+            got.append(text[i : stop.start()])
+            i = stop.start()
+            after = text[i + 1 : i + 2]
+            if text[i] == "\\":
+                escaped = after != "" and after in "\"'\\/nt"
+                got.append({"n": "\n", "t": "\t"}.get(after, after) if escaped else "\\")
+                i += 2 if escaped else 1
+            elif end == q == after and any(got):
                 got.append(q)
                 i += 2
-            elif c == end and (end != "'" and end != "’" or not text[i + 1 : i + 2].isalnum()):
+            elif end not in "'’" or not after.isalnum():
                 i += 1
                 break
             else:
-                got.append(c)
+                got.append(end)
                 i += 1
         out.append(_trimmed("".join(got)))
-        between = re.match(r"[\s,;|&/\-]*(?:and|und|et|y)?[\s,;|&/\-]*", text[i:]).end()
-        if i + between < len(text) and between == 0:
+        between = _BETWEEN.match(text, i).end()
+        if between < len(text) and between == i:
             return None
-        i += between
+        i = between
     return out
 
 
@@ -145,18 +162,30 @@ _ANY = re.compile("|".join(CANDIDATES[n] for n in CANDIDATES if n not in ("blank
 
 
 def _beside(pieces: list[str]) -> list[str]:
-    """What stands directly beside a delimiter: of irregular pieces only the part up to any other candidate."""
-    out = []
+    """Types of what stands directly beside a delimiter: of irregular pieces only the part up to any other candidate."""
+    out, last = [], len(pieces) - 1
     for i, p in enumerate(pieces):
-        if kind_of(p) in REGULAR:
-            out.append(p)
+        kind = kind_of(p)
+        if kind in REGULAR:
+            out.append(kind)
             continue
-        parts = [x for x in map(_unquoted, _ANY.split(p)) if x] or [p]
-        out.extend(parts[:1] if i else [])
-        out.extend(parts[-1:] if i + 1 < len(pieces) else [])
+        first, end = _short_ends(p) if len(p) <= CACHED else _ends(p)
+        if i:
+            out.append(first)
+        if i < last:
+            out.append(end)
     return out
 
 
+def _ends(piece: str) -> tuple[str, str]:
+    """Types of the first and the last part of a piece between any candidates."""
+    parts = [x for x in map(_unquoted, _ANY.split(piece)) if x] or [piece]
+    return kind_of(parts[0]), kind_of(parts[-1])
+
+
+_short_ends = lru_cache(1 << 16)(_ends)
+
+
 def _split(text: str, accepted: list[str], depth: int = 0) -> list[str] | None:
     """The pieces of text by the accepted delimiters, or None where they do not come out regular and of one type."""
     for name in accepted:
@@ -191,22 +220,26 @@ def values_of(text: str | None, accepted: list[str]) -> list[str]:
 
 
 def delimiter_scores(fields: DataFrame) -> DataFrame:
-    """(source, delimiter, rows, score) from (source, text) over all rows: consistency * regularity of the pieces made.
+    """(source, delimiter, rows, consistency, regularity, score) from (source, text) over all rows; score = consistency * regularity.
 
-    regularity: share of pieces whose type is common among the source's values that hold no candidate but blanks;
-    consistency: share of rows with the delimiter whose pieces all have one type.
+    consistency: how steady the number of pieces is over the rows with the delimiter, 1 / (1 + variance / mean), which is 1
+    where all rows have equally many; regularity: share of pieces whose type is common among the source's values that hold
+    no candidate but blanks, times the share of rows whose pieces all have one type.
     """
 
     def run(batches):
         for batch in batches:
-            sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             counts: dict = {}
-            for source, text in zip(sources, texts):
+
+            def add(source, name, what, n=1):
+                key = (source, name, what)
+                counts[key] = counts.get(key, 0) + n
+
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got, rest = listed(text) if text else ([], "")
                 if got is not None:
                     for g in got:
-                        key = (source, "", kind_of(g))
-                        counts[key] = counts.get(key, 0) + 1
+                        add(source, "", kind_of(g))
                     continue
                 rest = rest.strip(" \t\r\n;,|") if "://" not in rest else rest.strip()
                 seen = False
@@ -214,27 +247,33 @@ def delimiter_scores(fields: DataFrame) -> DataFrame:
                     pieces = _cut(rest, name)
                     if len(pieces) > 1:
                         seen = seen or name != "blank"
-                        pieces = _beside(pieces)
-                        kinds = [ALIKE.get(k, k) for k in map(kind_of, pieces)]
-                        one = "one" if len(set(kinds)) == 1 else "mixed"
+                        kinds = [ALIKE.get(k, k) for k in _beside(pieces)]
                         for k in kinds:
-                            key = (source, name, k)
-                            counts[key] = counts.get(key, 0) + 1
-                        counts[(source, name, one)] = counts.get((source, name, one), 0) + 1
+                            add(source, name, k)
+                        add(source, name, ROWS)
+                        add(source, name, ONE_TYPE, len(set(kinds)) == 1)
+                        add(source, name, PIECES, len(pieces))
+                        add(source, name, SQUARES, len(pieces) ** 2)
                 if not seen and rest:
-                    key = (source, "", ALIKE.get(kind_of(rest), kind_of(rest)))
-                    counts[key] = counts.get(key, 0) + 1
-            rows = [(*k, v) for k, v in counts.items()]
+                    add(source, "", ALIKE.get(kind_of(rest), kind_of(rest)))
+            rows = [(*k, int(v)) for k, v in counts.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], ["source", "delimiter", "kind", "n"])
 
     counted = fields.select("source", "text").mapInArrow(run, "source string, delimiter string, kind string, n long").groupBy("source", "delimiter", "kind").agg(F.sum("n").alias("n"))
     counted = stage(counted, "delimiter-counts")  # a few rows a source, read four times below
     whole = counted.where("delimiter = ''").groupBy("source").agg(F.sum("n").alias("all"))
     common = counted.where("delimiter = ''").join(whole, "source").where(F.col("kind").isin(*REGULAR) & (F.col("n") >= COMMON * F.col("all"))).select("source", "kind", F.lit(1).alias("common"))
-    made = counted.where("delimiter <> '' and kind not in ('one', 'mixed')").join(common, ["source", "kind"], "left")
-    regular = made.groupBy("source", "delimiter").agg((F.sum(F.col("n") * F.coalesce("common", F.lit(0))) / F.sum("n")).alias("regularity"))
-    steady = counted.where("kind in ('one', 'mixed')").groupBy("source", "delimiter").agg(F.sum("n").alias("rows"), (F.sum(F.when(F.col("kind") == "one", F.col("n")).otherwise(0)) / F.sum("n")).alias("consistency"))
-    return regular.join(steady, ["source", "delimiter"]).select("source", "delimiter", "rows", (F.col("regularity") * F.col("consistency")).alias("score"))
+    made = counted.where(F.col("delimiter") != "").where(~F.col("kind").isin(*COUNTERS)).join(common, ["source", "kind"], "left")
+    usual = made.groupBy("source", "delimiter").agg((F.sum(F.col("n") * F.coalesce("common", F.lit(0))) / F.sum("n")).alias("usual"))
+    total = lambda name: F.sum(F.when(F.col("kind") == name, F.col("n"))).alias(name)
+    steady = counted.where(F.col("kind").isin(*COUNTERS)).groupBy("source", "delimiter").agg(*map(total, COUNTERS))
+    mean = F.col(PIECES) / F.col(ROWS)
+    consistency = 1 / (1 + (F.col(SQUARES) / F.col(ROWS) - mean * mean) / mean)
+    both = usual.join(steady, ["source", "delimiter"]).withColumn("consistency", consistency).withColumn("regularity", F.col("usual") * F.col(ONE_TYPE) / F.col(ROWS))
+    return both.select("source", "delimiter", F.col(ROWS).alias("rows"), "consistency", "regularity", (F.col("consistency") * F.col("regularity")).alias("score"))
+
+
+ROWS, ONE_TYPE, PIECES, SQUARES = COUNTERS = ("rows", "one type", "pieces", "squares")
 
 
 def unpacked(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
@@ -242,11 +281,12 @@ def unpacked(rows: DataFrame, key: str, fields: tuple[str, ...]) -> DataFrame:
 
     A value is as written but without surrounding blanks, brackets and enclosing quotes; quotes inside are restored. Empty
     places do not count and give no rows, like null and empty fields. A range, a number with grouped digits, a sentence
-    and a URL are one value each. Equal rows of one key count once; rows with a null key take no part.
+    and a URL are one value each. Equal rows (in key and fields) count once; rows with a null key take no part.
     """
     kind = dict(rows.dtypes)[key]
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    long = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), stacked.alias("s")).select("id", "s.field", "s.text").where("text is not null").distinct()
+    single = once(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *fields), "_key", "_key", *fields)
+    long = single.select(F.col("_key").alias("id"), stacked.alias("s")).select("id", "s.field", "s.text").where("text is not null")
     accepted = delimiter_scores(long.select(F.col("field").alias("source"), "text")).where(F.col("score") >= ACCEPT)
     order = {name: i for i, name in enumerate(CANDIDATES)}
     chosen: dict[str, list[str]] = {f: [] for f in fields}

@@ -78,6 +78,19 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+FEW_KEYS = 1_000_000  # repeated keys that are broadcast at most; more are joined by shuffle
+
+
+def once(df: DataFrame, key: str, *same: str) -> DataFrame:
+    """df with the rows of repeated keys once (by the columns `same`, by the key alone where none are named).
+
+    Only keys are counted and moved; of the rows themselves only those whose key is repeated. Rows with a null key stay.
+    """
+    repeated = stage(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key), "repeated-keys")
+    known = small(repeated, FEW_KEYS)
+    return df.join(known, key, "left_anti").unionByName(df.join(known, key, "left_semi").dropDuplicates([*same] or [key]).select(*df.columns))
+
+
 def widened(schema: StructType, name: str, kind: DataType) -> StructType:
     """A new schema with one more field (StructType.add would change the data frame's own)."""
     return StructType([*schema.fields, StructField(name, kind)])
