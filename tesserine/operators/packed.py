@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,10 +25,12 @@ CANDIDATES = {
     "slash": r"\s+/\s+", "ampersand": r"\s+&\s+", "spaced comma": r"\s*,\s+|\s+,", "and": r",?\s+(?:and|und|et|y)\s+", "comma": r",", "blank": r"[  ]+",
 }
 _DELIMITERS = {name: re.compile(pattern) for name, pattern in CANDIDATES.items()}
+# What a text must hold for a candidate to occur in it; looked for first, because that costs little.
+_HOLDS = {"newline": "\n", "tab": "\t", "double pipe": "||", "double dash": "--", "pipe": "|", "semicolon": ";", "slash": "/", "ampersand": "&", "spaced comma": ",", "comma": ",", "and": "", "blank": ""}
 WITHIN_SENTENCES = frozenset(("spaced comma", "and", "comma", "blank", "ampersand"))  # these never part sentences
 ACCEPT = 0.3  # least score of a delimiter
 COMMON = 0.02  # least share of a type among the undivided values of its source
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿"))
+_INVISIBLE = tuple("​‌‍⁠﻿")
 _QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
 _BRACKETS = {"(": ")", "[": "]", "{": "}"}
 _GROUPED = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:[     '’]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:\.\d{3}){2,}(?:,\d+)?|\d*\.\d+|\d+(?:,\d+)?"
@@ -74,7 +77,11 @@ ALIKE = {"amount": "number"}  # types that may stand side by side in one list
 
 
 def _trimmed(text: str) -> str:
-    return text.strip() if text.isascii() else text.translate(_INVISIBLE).strip()
+    if not text.isascii():
+        for c in _INVISIBLE:
+            if c in text:
+                text = text.replace(c, "")
+    return text.strip()
 
 
 def _unquoted(piece: str) -> str:
@@ -146,50 +153,61 @@ def listed(text: str) -> tuple[list[str] | None, str]:
     return None, t
 
 
+def _raw_pieces(text: str, name: str) -> list[str]:
+    if "://" not in text:
+        return _DELIMITERS[name].split(text)
+    joined, at = [], 0  # a delimiter inside a URL is none: pieces that do not start one belong to the piece before
+    for m in _DELIMITERS[name].finditer(text):
+        if _SCHEME.match(text, m.end()) or not text[m.end() :].strip(" ;,|"):
+            joined.append(text[at : m.start()])
+            at = m.end()
+    return [*joined, text[at:]]
+
+
 def _cut(text: str, name: str) -> list[str]:
-    pieces = _DELIMITERS[name].split(text)
-    if "://" in text:  # a delimiter inside a URL is none: pieces that do not start one belong to the piece before
-        joined, at = [], 0
-        for m in _DELIMITERS[name].finditer(text):
-            if _SCHEME.match(text, m.end()) or not text[m.end() :].strip(" ;,|"):
-                joined.append(text[at : m.start()])
-                at = m.end()
-        pieces = [*joined, text[at:]]
-    return [p for p in map(_unquoted, pieces) if p.strip(" ;,|")]
+    return [p for p in map(_unquoted, _raw_pieces(text, name)) if p.strip(" ;,|")]
 
 
 _ANY = re.compile("|".join(CANDIDATES[n] for n in CANDIDATES if n not in ("blank", "and", "comma")))
 
 
-def _beside(pieces: list[str]) -> list[str]:
-    """Types of what stands directly beside a delimiter: of irregular pieces only the part up to any other candidate."""
-    out, last = [], len(pieces) - 1
-    for i, p in enumerate(pieces):
-        kind = kind_of(p)
-        if kind in REGULAR:
-            out.append(kind)
-            continue
-        first, end = _short_ends(p) if len(p) <= CACHED else _ends(p)
-        if i:
-            out.append(first)
-        if i < last:
-            out.append(end)
-    return out
+def _look(raw: str) -> tuple[str | None, str, str] | None:
+    """Type of a piece as it was cut, or None in the first place where it is irregular: then the types of its first and its
+    last part between any candidates count. Empty places look like nothing at all."""
+    piece = _unquoted(raw)
+    if not piece.strip(" ;,|"):
+        return None
+    kind = kind_of(piece)
+    if kind in REGULAR:
+        kind = ALIKE.get(kind, kind)
+        return kind, kind, kind
+    parts = [x for x in map(_unquoted, _ANY.split(piece)) if x] or [piece]
+    first, last = kind_of(parts[0]), kind_of(parts[-1])
+    return None, ALIKE.get(first, first), ALIKE.get(last, last)
 
 
-def _ends(piece: str) -> tuple[str, str]:
-    """Types of the first and the last part of a piece between any candidates."""
-    parts = [x for x in map(_unquoted, _ANY.split(piece)) if x] or [piece]
-    return kind_of(parts[0]), kind_of(parts[-1])
+_short_look = lru_cache(1 << 17)(_look)
+
+
+def _looks(text: str, name: str) -> list[tuple]:
+    return [look for look in [_short_look(p) if len(p) <= CACHED else _look(p) for p in _raw_pieces(text, name)] if look]
 
 
-_short_ends = lru_cache(1 << 16)(_ends)
+def _beside(looks: list[tuple]) -> list[str]:
+    """Types of what stands directly beside a delimiter."""
+    out, last = [], len(looks) - 1
+    for i, (kind, first, end) in enumerate(looks):
+        if kind:
+            out.append(kind)
+        else:
+            out += [first] * (i > 0) + [end] * (i < last)
+    return out
 
 
 def _split(text: str, accepted: list[str], depth: int = 0) -> list[str] | None:
     """The pieces of text by the accepted delimiters, or None where they do not come out regular and of one type."""
     for name in accepted:
-        pieces = _cut(text, name)
+        pieces = _cut(text, name) if _HOLDS[name] in text else ()
         if len(pieces) < 2:
             continue
         out: list[str] = []
@@ -244,16 +262,16 @@ def delimiter_scores(fields: DataFrame) -> DataFrame:
                 rest = rest.strip(" \t\r\n;,|") if "://" not in rest else rest.strip()
                 seen = False
                 for name in CANDIDATES:
-                    pieces = _cut(rest, name)
-                    if len(pieces) > 1:
+                    looks = _looks(rest, name) if _HOLDS[name] in rest else ()
+                    if len(looks) > 1:
                         seen = seen or name != "blank"
-                        kinds = [ALIKE.get(k, k) for k in _beside(pieces)]
-                        for k in kinds:
-                            add(source, name, k)
+                        kinds = Counter(_beside(looks))
+                        for k, n in kinds.items():
+                            add(source, name, k, n)
                         add(source, name, ROWS)
-                        add(source, name, ONE_TYPE, len(set(kinds)) == 1)
-                        add(source, name, PIECES, len(pieces))
-                        add(source, name, SQUARES, len(pieces) ** 2)
+                        add(source, name, ONE_TYPE, len(kinds) == 1)
+                        add(source, name, PIECES, len(looks))
+                        add(source, name, SQUARES, len(looks) ** 2)
                 if not seen and rest:
                     add(source, "", ALIKE.get(kind_of(rest), kind_of(rest)))
             rows = [(*k, int(v)) for k, v in counts.items()]
