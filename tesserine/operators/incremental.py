@@ -10,13 +10,13 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from tesserine.functions import text as T
 from tesserine.operators.enrich import embedded_text
-from tesserine.runtime import widened
+from tesserine.runtime import once, widened
 
 
 def hashed(chunks: DataFrame, model: str) -> DataFrame:
     """(chunk_id, embed_text, embed_hash), one row a chunk."""
     text = embedded_text(F.col("text"), F.col("embed_text"))
-    rows = chunks.select("chunk_id", F.coalesce(text, F.lit("")).alias("embed_text")).dropDuplicates(["chunk_id"])
+    rows = once(chunks.select("chunk_id", F.coalesce(text, F.lit("")).alias("embed_text")), "chunk_id")
     return rows.withColumn("embed_hash", T.embed_hash(F.lit(model), F.col("embed_text")))
 
 

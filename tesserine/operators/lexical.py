@@ -1,7 +1,8 @@
 """Lexical retrieval: BM25 and TF-IDF rankings of passages for queries.
 
-The index is a table of postings. Statistics always cover all passages; only postings of terms that some query has are
-grouped and joined, and a passage filter (`where`) is applied after the statistics, so scores do not depend on it.
+The index is a table of postings (item, term, tf), written once and read by all later steps. Terms are counted in the task
+a text is read in, so texts are read once and only narrow rows are moved. Statistics
+always cover all passages; a passage filter (`where`) is applied after the statistics, so scores do not depend on it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from tesserine.functions import text as T
 from tesserine.runtime import small, stage
 
 QUERY_ROWS = 500_000  # rows of query terms that are broadcast at most; more are joined by shuffle
+VOCABULARY = 2_000_000  # terms whose frequencies are broadcast at most
 
 
 def _ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -21,26 +23,44 @@ def _ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _index(passages: DataFrame, terms: Column, where: Column | None, vocabulary: DataFrame | None) -> DataFrame:
+    """(item_id, wanted, length, term, tf): the postings of passages, of the terms of vocabulary only where it is given, and for
+    every item one row without a term (length: number of terms)."""
+    kept = passages.select("item_id", (where if where is not None else F.lit(True)).alias("wanted"), terms.alias("terms"))
+    all_terms = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.col("terms")))
+    long = kept.select("item_id", "wanted", F.size("terms").alias("length"), all_terms.alias("term"))
+    if vocabulary is not None:
+        long = long.join(vocabulary.withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null")
+    # an item is one row, so its terms are counted where it is read; what is moved is a row for each item and term
+    each = long.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("wanted").alias("wanted"))
+    return stage(each, "postings")
+
+
+def _asked(queries: DataFrame, terms: Column) -> tuple[DataFrame, bool]:
+    """The terms of every query with their number, and whether they are few enough to be sent to every task."""
+    asked = stage(queries.select("query_id", F.explode(terms).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "query-terms")
+    return asked, asked.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+
+
 def bm25(passages: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, where: Column | None = None, stop_words=T.STOP_WORDS) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best passages: passages(item_id, text, ...), queries(query_id, query).
 
     Okapi BM25 with the idf log(1 + (N - df + 0.5) / (df + 0.5)); repeated query terms count as often as they occur;
     passages without any query term are left out. Null texts are empty passages. Scores are rounded to six places, ties
-    go to the smaller item_id. Keys must be unique; `where` may use any column of passages.
+    go to the smaller item_id. Keys must be unique (see runtime.once); `where` may use any column of passages.
     """
-    kept = passages.select("item_id", T.terms(F.col("text"), stop_words).alias("terms"), (where if where is not None else F.lit(True)).alias("wanted"))
-    stats = kept.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean"))
-    asked = queries.select("query_id", F.explode(T.terms(F.col("query"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    vocabulary = asked.select("term").distinct()
-    long = kept.select("item_id", "wanted", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(small(vocabulary, QUERY_ROWS), "term", "left_semi")
-    # one exchange by item: counting terms, meeting the queries' terms and adding up scores then all happen in place
-    postings = long.repartition("item_id").groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), F.first("wanted").alias("wanted"))
+    asked, few = _asked(queries, T.terms(F.col("query"), stop_words))
+    hint = F.broadcast if few else (lambda df: df)
+    index = _index(passages, T.terms(F.col("text"), stop_words), where, hint(asked.select("term").distinct()))
+    postings = index.where("term is not null")
+    stats = index.where("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weighed = asked.join(frequency, "term").crossJoin(F.broadcast(stats))  # stats is one row
     weighed = weighed.select("query_id", "term", "mean", (F.col("qtf") * F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("weight"))
     norm = F.lit(k1) * (1 - b + b * F.col("length") / F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    scored = postings.where("wanted").join(small(weighed, QUERY_ROWS), "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
+    # all postings of an item lie in one task from here on: scores add up and the best are taken before anything else is moved
+    scored = postings.where("wanted").repartition("item_id").join(hint(weighed), "term").groupBy("query_id", "item_id").agg(F.round(F.sum(part), 6).alias("score"))
     return _ranked(scored.where("score > 0"), k)
 
 
@@ -48,22 +68,20 @@ def tfidf(passages: DataFrame, queries: DataFrame, k: int = 10, stop_words=T.STO
     """(query_id, item_id, score, rank): cosine of TF-IDF vectors over words and pairs of neighbouring words.
 
     Weights are (1 + ln tf) * (1 + ln((1 + N) / (1 + df))), vectors have length one. Only passages that share a term with
-    the query are ranked. Rounding and ties as in bm25.
+    the query are ranked. Rounding, ties and keys as in bm25.
     """
-    stats = passages.agg(F.count("*").alias("n"))
-    # one exchange by item for everything that is added up by item; terms meet their frequency by term
-    long = passages.select("item_id", F.explode(T.ngram_terms(F.col("text"), stop_words)).alias("term"))
-    postings = stage(long.groupBy("item_id", "term").agg(F.count("*").alias("tf")), "postings")
+    asked, few = _asked(queries, T.ngram_terms(F.col("query"), stop_words))
+    hint = F.broadcast if few else (lambda df: df)
+    index = _index(passages, T.ngram_terms(F.col("text"), stop_words), None, None)
+    postings = index.where("term is not null").select("item_id", "term", "tf")
+    stats = index.where("term is null").agg(F.count("*").alias("n"))
     idf = stage(postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
     weight = (F.log("tf") + 1) * F.col("idf")
-    lengths = postings.join(idf, "term").groupBy("item_id").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
-    raw = queries.select("query_id", F.explode(T.ngram_terms(F.col("query"), stop_words)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("tf"))
-    few = raw.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
-    hint = F.broadcast if few else (lambda df: df)
-    asked = raw.join(idf, "term").select("query_id", "term", "idf", weight.alias("qw"))
-    asked_length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_length"))
-    terms = asked.select("query_id", "term", "idf", "qw").join(asked_length, "query_id")
-    hits = postings.join(hint(terms.select("term").distinct()), "term", "left_semi").repartition("item_id").join(hint(terms), "term")
-    dots = hits.groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * weight).alias("dot"), F.first("q_length").alias("q_length"))
+    lengths = postings.join(small(idf, VOCABULARY), "term").groupBy("item_id").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+    raw = asked.withColumnRenamed("qtf", "tf").join(idf, "term").select("query_id", "term", "idf", weight.alias("qw"))
+    raw = stage(raw, "query-weights")
+    q_length = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_length"))
+    terms = raw.join(q_length, "query_id").select("query_id", "term", "idf", "qw", "q_length")
+    dots = postings.join(hint(raw.select("term").distinct()), "term", "left_semi").repartition("item_id").join(hint(terms), "term").groupBy("query_id", "item_id").agg(F.sum(F.col("qw") * weight).alias("dot"), F.first("q_length").alias("q_length"))
     scored = dots.join(lengths, "item_id")
     return _ranked(scored.select("query_id", "item_id", F.round(F.col("dot") / (F.col("length") * F.col("q_length")), 6).alias("score")), k)

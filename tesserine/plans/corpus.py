@@ -9,7 +9,7 @@ from tesserine.functions import text as T
 from tesserine.operators import chunking, enrich, incremental, nested, ordered
 from tesserine.plans import strategies
 from tesserine.plans.preparation import PLACED
-from tesserine.runtime import load, stage
+from tesserine.runtime import load, once, stage, texts
 from tesserine.sources import parsed
 from tesserine.streaming.index import event_counts
 
@@ -18,11 +18,11 @@ WS = f"[{T.SPACES}]+"
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])
+    return once(texts(spark, sf_dir, "chunks"), "chunk_id")
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "blocks").dropDuplicates(["block_id"])
+    return once(texts(spark, sf_dir, "blocks"), "block_id")
 
 
 def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +33,13 @@ def approx_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences of all documents."""
-    found = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "sentence"))
+    found = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentences(F.col("text"))).alias("pos", "sentence"))
     return found.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence")
 
 
 def fixed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sliding word windows over every document."""
-    return chunking.text_windows(load(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunking.text_windows(texts(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
@@ -97,18 +97,18 @@ def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest parse of every document as blocks in reading order."""
-    return parsed.blocks(parsed.latest(load(spark, sf_dir, "parsed_json"))).drop("metadata")
+    return parsed.blocks(parsed.latest(texts(spark, sf_dir, "parsed_json"))).drop("metadata")
 
 
 def parsed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From parsed documents to finished chunks with figure chunks made of the labels printed in figures."""
-    blocks = parsed.blocks(parsed.latest(load(spark, sf_dir, "parsed_json")), figure_text=parsed.labels_text)
+    blocks = parsed.blocks(parsed.latest(texts(spark, sf_dir, "parsed_json")), figure_text=parsed.labels_text)
     return strategies.chunks(stage(blocks, "blocks"), "hybrid_figlabels").select("chunk_id", "doc_id", "kind", "text", "embed_text", "pages")
 
 
 def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell rows of all tables as markdown lines, from the flat tables of the parsed records."""
-    document = nested.document_nodes(load(spark, sf_dir, "parsed_json"))
+    document = nested.document_nodes(texts(spark, sf_dir, "parsed_json"))
     cells = nested.attached(document).where("part = 'data.grid'")
     text = F.replace(T.collapsed(F.coalesce(F.col("fields")["text"], F.lit(""))), F.lit("|"), F.lit("\\|"))
     rows = cells.groupBy("record_id", "item_ref", "row").agg(F.array_sort(F.collect_list(F.struct("ordinal", text.alias("text")))).alias("c"))

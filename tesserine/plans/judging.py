@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from tesserine.functions import text as T
 from tesserine.operators import answers, errors, evaluate, evidence, figures
 from tesserine.plans.retrieval import REF_IDS, passages
-from tesserine.runtime import load
+from tesserine.runtime import load, once
 
 
 def _generation(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return load(spark, sf_dir, "generation").select("gen_id", *columns).distinct()
+    return once(load(spark, sf_dir, "generation").select("gen_id", *columns), "gen_id", "gen_id", *columns)
 
 
 def numbers_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,9 +62,9 @@ def parsed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quote_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a recorded hit's chunk holds the last sentence of its own embedded text, white space aside."""
     hits = load(spark, sf_dir, "search_hits").where("chunk_id is not null").select(F.col("query_id").alias("question_id"), "chunk_id").distinct()
-    quotes = load(spark, sf_dir, "chunks").select("chunk_id", F.element_at(F.split("embed_text", r"(?<=[.!?])\s+"), -1).alias("quote")).dropDuplicates(["chunk_id"])
+    quotes = once(load(spark, sf_dir, "chunks"), "chunk_id").select("chunk_id", F.element_at(F.split("embed_text", r"(?<=[.!?])\s+"), -1).alias("quote"))
     cited = hits.join(quotes, "chunk_id", "left")
-    return evidence.quotes_found(cited, load(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"])).select("question_id", "chunk_id", "status")
+    return evidence.quotes_found(cited, once(load(spark, sf_dir, "chunks"), "chunk_id")).select("question_id", "chunk_id", "status")
 
 
 def export_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def value_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chart_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figure texts from readings: every figure block's text taken as the model's reply, described for search."""
-    replies = load(spark, sf_dir, "blocks").where("kind = 'figure'").dropDuplicates(["block_id"]).select("block_id", F.to_json(F.struct(F.lit("Line_Chart").alias("kind"), F.col("text").alias("summary"))).alias("reply"))
+    replies = once(load(spark, sf_dir, "blocks").where("kind = 'figure'"), "block_id").select("block_id", F.to_json(F.struct(F.lit("Line_Chart").alias("kind"), F.col("text").alias("summary"))).alias("reply"))
     return figures.readings(replies).select("block_id", figures.description(F.col("reading"), F.lit("")).alias("text"))
 
 

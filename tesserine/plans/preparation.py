@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserine.operators import nested, packed, units
-from tesserine.runtime import load, stage
+from tesserine.runtime import load, stage, texts
 
 PACKED_FIELDS = ("ref_id", "ref_url", "supporting_materials", "answer_value")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link from an item of a parsed record to its children, captions, footnotes, page positions and cells."""
-    document = stage(nested.document_nodes(load(spark, sf_dir, "parsed_json"), scalars=nested.LINK_FIELDS), "nodes")
+    document = stage(nested.document_nodes(texts(spark, sf_dir, "parsed_json"), scalars=nested.LINK_FIELDS), "nodes")
     return nested.links(document)
 
 
@@ -24,26 +24,26 @@ def _label():
 
 def p5_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items of all parsed records as a flat table."""
-    return nested.items(nested.document_nodes(load(spark, sf_dir, "parsed_json"))).withColumn("item_dewey", _label())
+    return nested.items(nested.document_nodes(texts(spark, sf_dir, "parsed_json"))).withColumn("item_dewey", _label())
 
 
 def p5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page positions of all items as a flat table, each with the label of its item."""
-    document = nested.document_nodes(load(spark, sf_dir, "parsed_json"))
+    document = nested.document_nodes(texts(spark, sf_dir, "parsed_json"))
     parts = nested.attached(document).where("part = 'prov'")
     return parts.select("record_id", _label().alias("item_dewey"), "item_ref", F.col("ordinal").cast("long").alias("position"), F.col("fields")["page_no"].try_cast("int").alias("page_no"))
 
 
 def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of all tables as a flat table, each with the label of its item."""
-    document = nested.document_nodes(load(spark, sf_dir, "parsed_json"))
+    document = nested.document_nodes(texts(spark, sf_dir, "parsed_json"))
     parts = nested.attached(document).where("part = 'data.grid'")
     return parts.select("record_id", _label().alias("item_dewey"), "item_ref", F.col("row").cast("long").alias("row"), F.col("ordinal").cast("long").alias("col"), F.coalesce(F.col("fields")["text"], "value").alias("text"))
 
 
 def p6_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every single amount of the answers in the common unit of its quantity."""
-    return units.amounts(load(spark, sf_dir, "generation"), load(spark, sf_dir, "unit_catalog"), "gen_id", "answer_value", "answer_unit")
+    return units.amounts(texts(spark, sf_dir, "generation"), load(spark, sf_dir, "unit_catalog"), "gen_id", "answer_value", "answer_unit")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of the four packed fields with its position, single values included."""
-    return packed.unpacked(load(spark, sf_dir, "generation"), "gen_id", PACKED_FIELDS)
+    return packed.unpacked(texts(spark, sf_dir, "generation"), "gen_id", PACKED_FIELDS)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import answers, dense, enrich, evaluate, evidence, fusion, incremental, lexical
-from tesserine.runtime import load, stage
+from tesserine.runtime import load, once, stage, texts
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, doc_id, ref_id, kind, text, body) of all chunks; text is what is searched, body what is shown."""
     text = enrich.embedded_text(F.col("text"), F.col("embed_text"))
-    return load(spark, sf_dir, "chunks").dropDuplicates(["chunk_id"]).select(
+    return once(texts(spark, sf_dir, "chunks"), "chunk_id").select(
         F.col("chunk_id").alias("item_id"), "doc_id", F.try_element_at("metadata", F.lit("ref_id")).alias("ref_id"), "kind", text.alias("text"), F.col("text").alias("body")
     )
 
 
 def _generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "generation").dropDuplicates(["gen_id"])
+    return once(load(spark, sf_dir, "generation"), "gen_id")
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def evidence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text block as a segment of its paper, to be found again in the chunks of the paper."""
     rows = load(spark, sf_dir, "blocks").where("kind = 'text' AND size(source_refs) > 0")
-    return rows.select(F.col("block_id").alias("segment_id"), F.col("doc_id").alias("group"), "text").distinct()
+    return once(rows.select(F.col("block_id").alias("segment_id"), F.col("doc_id").alias("group"), "text"), "segment_id", "segment_id", "group", "text")
 
 
 def evidence_bag(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,20 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table just read, dealt out over all cores where it comes in fewer parts than that; larger ones stay where they are.
+
+    A small file is one task however much work its texts are. What is moved is less than one part for each core.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
+
+
+def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table whose texts take long to work on."""
+    return spread(load(spark, sf_dir, table))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
