@@ -54,8 +54,33 @@ def section_name(heading: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(heading, NUMBERING, ""), "^[ :]+|[ :]+$", ""))
 
 
+HEADING = r"(?=[^\W_])(?:[\W\d_]*[^\W\d_]){3}"  # begins with a letter or digit and holds three letters; matched from the start
+
+
 def looks_like_heading(text: Column) -> Column:
-    return text.rlike(r"^[\p{L}\p{N}]") & (F.length(F.regexp_replace(text, r"[^\p{L}]", "")) >= 3)
+    return text.rlike("(?U)^" + HEADING)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, f"^[{SPACES}]+|[{SPACES}]+$", "")
+
+
+def table_line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
+def table_cell(text: Column) -> Column:
+    """A cell's text in one line, its bars escaped."""
+    return F.replace(collapsed(F.coalesce(text, F.lit(""))), F.lit("|"), F.lit("\\|"))
+
+
+def markdown(grid: Column) -> Column:
+    """An array of rows of cells as markdown: rows without text left out, the first one as header; empty where none is left."""
+    rows = F.filter(F.transform(grid, lambda row: F.transform(row, table_cell)), lambda row: F.exists(row, lambda c: c != ""))
+    head = F.slice(rows, 1, 1)
+    rule = F.transform(head, lambda row: F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.size(row))))
+    return F.array_join(F.concat(F.transform(head, table_line), rule, F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), table_line)), "\n")
 
 
 NUMBER = r"-?[0-9][0-9,]*(?:\.[0-9]+)?"

@@ -110,10 +110,10 @@ def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell rows of all tables as markdown lines, from the flat tables of the parsed records."""
     document = nested.document_nodes(texts(spark, sf_dir, "parsed_json"))
     cells = nested.attached(document).where("part = 'data.grid'")
-    text = F.replace(T.collapsed(F.coalesce(F.col("fields")["text"], F.lit(""))), F.lit("|"), F.lit("\\|"))
+    text = T.table_cell(F.col("fields")["text"])
     rows = cells.groupBy("record_id", "item_ref", "row").agg(F.array_sort(F.collect_list(F.struct("ordinal", text.alias("text")))).alias("c"))
     rows = rows.where(F.exists("c", lambda c: c["text"] != ""))
-    line = F.concat(F.lit("| "), F.array_join(F.transform("c", lambda c: c["text"]), " | "), F.lit(" |"))
+    line = T.table_line(F.transform("c", lambda c: c["text"]))
     return rows.select("record_id", "item_ref", F.col("row").cast("long").alias("row"), line.alias("line"))
 
 

@@ -50,7 +50,7 @@ def ungrouped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tidy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer values as they are exported: without grouping commas, calculator output cut."""
-    return _generation(spark, sf_dir, "answer_value").where("answer_value is not null").select("gen_id", answers.tidy_number_column(F.col("answer_value")).alias("value"))
+    return _generation(spark, sf_dir, "answer_value").where("answer_value is not null").select("gen_id", answers.tidy_number(F.col("answer_value")).alias("value"))
 
 
 def parsed_refs(spark: SparkSession, sf_dir: str) -> DataFrame:

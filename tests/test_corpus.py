@@ -10,26 +10,20 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import chunking, enrich, incremental, ordered
-from tesserine.operators.headings import HeadingPath, roman
+from tesserine.operators.headings import outline, roman
 from tesserine.plans import corpus, strategies
 from tesserine.sources import files, parsed
 
 
 def test_heading_levels():
-    h = HeadingPath()
-    paths = []
-    for x in ("I. Start", "A. Method", "Notes", "B. Data", "II. Results", "C. Late", "III. End", "References"):
-        h.enter(x)
-        paths.append(h.path)
-    assert paths == [["I. Start"], ["I. Start", "A. Method"], ["I. Start", "A. Method", "Notes"], ["I. Start", "B. Data"], ["II. Results"], ["II. Results", "C. Late"], ["III. End"], ["References"]]
-    h = HeadingPath()
-    for x in ("1 Intro", "2. Work", "2.1 Part", "2.1.1 Deep", "Loose  heading", "3. Next"):
-        h.enter(x)
-        last = h.path
-    assert last == ["3. Next"] and roman("XIV") == 14
-
-
-def test_document_blocks():
+    *_, last = outline(["1 Scope", "2. Methods", "2.1 Meters", "2.1.1 Flow", "Loose  end", "3. Findings"])
+    assert last == ["3. Findings"] and [roman(x) for x in ("XIV", "IX", "XLIX", "CXC", "III")] == [14, 9, 49, 190, 3]
+    paths = list(outline(["I. Aims", "A. Sites", "Remarks", "B. Years", "II. Outcome", "C. Winter", "III. Outlook", "Bibliography :", "Appendix B"]))
+    assert paths == [["I. Aims"], ["I. Aims", "A. Sites"], ["I. Aims", "A. Sites", "Remarks"], ["I. Aims", "B. Years"], ["II. Outcome"], ["II. Outcome", "C. Winter"], ["III. Outlook"], ["Bibliography :"], ["Appendix B"]]
+    assert list(outline(["C. First", "D. Second", "Plain"])) == [["C. First"], ["D. Second"], ["D. Second", "Plain"]]  # C. without roman numbers before it is a letter
+
+
+def test_document_blocks(spark):
     doc = {
         "name": "n", "body": {"children": [{"$ref": f"#/{r}"} for r in ("texts/0", "texts/1", "groups/0", "tables/0", "pictures/0", "texts/5", "texts/99", "bad")]},
         "texts": [
@@ -41,12 +35,23 @@ def test_document_blocks():
         "tables": [{"self_ref": "#/tables/0", "captions": [{"$ref": "#/texts/3"}], "data": {"grid": [[{"text": "a|b"}, {"text": " c  d "}], [{"text": ""}], [None, {"text": "e"}]]}}],
         "pictures": [{"self_ref": "#/pictures/0", "children": [{"$ref": f"#/texts/{6 + i}"} for i in range(3)]}],
     }
-    title, blocks = parsed.document_blocks(doc, "d", parsed.labels_text)
-    assert title == "A Title"
-    assert [(b[0], b[1]) for b in blocks] == [
+    df = spark.createDataFrame([("d", json.dumps(doc))], "doc_id string, raw string")
+    rows = parsed.blocks(df, figure_text=parsed.labels_text).orderBy("block_no").collect()
+    assert {r.title for r in rows} == {"A Title"} and [r.block_no for r in rows] == [0, 1, 2]
+    assert [(r.kind, r.text) for r in rows] == [
         ("list_item", "- one"), ("table", "Table 1: x\n\n| a\\|b | c d |\n| --- | --- |\n|  | e |"), ("figure", "Figure\nText in figure: label 0; label 1; label 2"),
     ]
-    assert blocks[0][2] == ["1 Intro"] and blocks[1][4] == ["#/tables/0", "#/texts/3"] and blocks[2][5] == {"figure_index": "0"}
+    assert rows[0].heading_path == ["1 Intro"] and rows[1].source_refs == ["#/tables/0", "#/texts/3"] and rows[2].metadata == {"figure_index": "0"}
+
+
+def test_repeated_and_circular_references(spark):
+    doc = {
+        "name": "n", "body": {"children": [{"$ref": "#/groups/0"}, {"$ref": "#/texts/0"}, {"$ref": "#/groups/1"}]},
+        "texts": [{"self_ref": "#/texts/0", "label": "text", "text": "twice"}, {"self_ref": "#/texts/1", "label": "text", "text": "once"}],
+        "groups": [{"self_ref": "#/groups/0", "children": [{"$ref": "#/texts/0"}, {"$ref": "#/texts/1"}]}, {"self_ref": "#/groups/1", "children": [{"$ref": "#/groups/1"}]}],
+    }
+    rows = parsed.blocks(spark.createDataFrame([("d", json.dumps(doc))], "doc_id string, raw string")).orderBy("block_no").collect()
+    assert [r.text for r in rows] == ["twice", "once", "twice"]
 
 
 def test_blocks_of_bad_records(spark):

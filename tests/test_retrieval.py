@@ -90,22 +90,31 @@ def reply(**changes):
     return json.dumps({"answer": "a", "answer_value": "1,500", "explanation": "e", "evidence": [{"chunk_id": "c1", "quote": "use was 5 litres"}]} | changes)
 
 
+REPLIES = "id string, question string, answer_unit string, reply string, passages array<struct<chunk_id:string,ref_id:string,url:string,text:string>>"
+
+
 def test_checked_answers(spark):
-    row = answers.checked(Q, reply(), P)
-    assert row["answer_value"] == "1500" and row["ref_id"] == '["r1"]' and row["supporting_materials"] == 'r1: "use was 5 litres"'
-    assert answers.checked(Q, reply(answer_value="is_blank", evidence=[]), P)["ref_url"] == "is_blank"
-    for bad in (reply(answer_value="nan"), reply(answer_value="1e999"), reply(evidence=[]), reply(evidence=[{"chunk_id": "no", "quote": "x"}]), reply(evidence=[{"chunk_id": "c1", "quote": "invented"}]), reply(evidence=[{"chunk_id": "c2", "quote": "x"}]),
-                reply(answer=" "), reply(evidence="x"), reply(answer_value="is_blank"), "[]", "no", None, reply(evidence=[{"chunk_id": 1, "quote": "x"}])):
-        with pytest.raises(answers.Rejected):
-            answers.checked(Q, bad, P)
-    df = spark.createDataFrame([("q", "Q?", "L", reply(), P), ("r", "Q?", "L", "no", None)], "id string, question string, answer_unit string, reply string, passages array<struct<chunk_id:string,ref_id:string,url:string,text:string>>")
+    bad = (reply(answer_value="nan"), reply(answer_value="1e999"), reply(evidence=[]), reply(evidence=[{"chunk_id": "no", "quote": "x"}]), reply(evidence=[{"chunk_id": "c1", "quote": "invented"}]), reply(evidence=[{"chunk_id": "c2", "quote": "x"}]),
+           reply(answer=" "), reply(evidence="x"), reply(answer_value="is_blank"), "[]", "no", None, reply(evidence=[{"chunk_id": 1, "quote": "x"}]), reply(answer_value=5), reply(evidence=["c1"]), reply(evidence=[{"chunk_id": "c1", "quote": " "}]))
+    good = [("q", "Q?", "L", reply(), P), ("blank", "Q?", "L", reply(answer_value="is_blank", evidence=[]), P), (None, "Q?", None, reply(answer_value="two", evidence=[{"chunk_id": "c1", "quote": " 5  litres. "}] * 2), P), ("none", "Q?", "L", reply(), None)]
+    df = spark.createDataFrame([*good, *((f"bad {i}", "Q?", "L", b, P) for i, b in enumerate(bad))], REPLIES)
     got = {r.id: r for r in answers.validated(df).collect()}
-    assert got["q"].error is None and got["q"].answer_value == "1500" and got["r"].error and got["r"].answer_value is None
+    row = got["q"]
+    assert row.error is None and row.answer_value == "1500" and row.ref_id == '["r1"]' and row.ref_url == '["u1"]' and row.supporting_materials == 'r1: "use was 5 litres"'
+    assert got["blank"].error is None and got["blank"].ref_url == "is_blank"
+    assert got[""].answer_value == "two" and got[""].ref_id == '["r1"]' and got[""].supporting_materials == 'r1: "5  litres."\nr1: "5  litres."' and got[""].answer_unit == ""
+    assert got["none"].error == "a passage is cited that was not given"
+    for i in range(len(bad)):
+        assert got[f"bad {i}"].error and got[f"bad {i}"].answer_value is None and got[f"bad {i}"].question == "Q?", bad[i]
+    assert answers.validated(df.limit(0)).count() == 0
+
+
+TIDY = [("100,000", "100000"), ("10,00", "10,00"), ("1.3333333333333333", "1.33"), ("1234.5678912", "1230"), ("0.00000123", "0.00000123"), ("text", "text"), ("-0.123456789", "-0.123"), ("9.9999999", "10"), (None, None)]
 
 
-@pytest.mark.parametrize(("value", "want"), [("100,000", "100000"), ("10,00", "10,00"), ("1.3333333333333333", "1.33"), ("1234.5678912", "1230"), ("0.00000123", "0.00000123"), ("text", "text")])
-def test_tidy_number(value, want):
-    assert answers.tidy_number(value) == want
+def test_tidy_number(spark):
+    df = spark.createDataFrame(TIDY, "value string, want string")
+    assert [(r.value, r.got) for r in df.select("value", answers.tidy_number(F.col("value")).alias("got")).collect()] == TIDY
 
 
 def test_export_and_tables(spark):
@@ -133,8 +142,10 @@ def test_buckets(spark):
 
 
 def test_figures(spark):
-    assert figures.reading('```json\n{"kind": "Bar", "data": [{"x": 1, "y": 2}], "legend": "a"}\n```')["data"] == "| x | y |\n| --- | --- |\n| 1 | 2 |"
-    assert figures.reading("nothing")["parse_error"] and figures.reading(None)["summary"] == ""
+    raw = [('```json\n{"kind": "Bar", "data": [{"x": 1, "y": 2}, {"z": "c"}], "legend": "a"}\n```',), ("nothing",), (None,), ('{"legend": ["a", "b"], "data": "| p |"}',), ("[1]",)]
+    read = [r.r for r in spark.createDataFrame(raw, "t string").select(figures.reading(F.col("t")).alias("r")).collect()]
+    assert read[0].data == "| x | y | z |\n| --- | --- | --- |\n| 1 | 2 |  |\n|  |  | c |" and read[0].legend == ["a"] and read[0].kind == "bar" and not read[0].parse_error
+    assert read[1].parse_error and read[1].summary == "nothing" and read[2].summary == "" and read[3].legend == ["a", "b"] and read[3].data == "| p |" and read[3].kind == "unknown" and read[4].parse_error
     replies = [('{"kind": "line_chart", "title": "T", "legend": ["a", "b"], "data": "' + "\\n".join(map(str, range(85))) + '"}',), ('{"kind": "logo", "title": "x"}',), ('{"kind": "bar"}',)]
     got = [r.d for r in figures.readings(spark.createDataFrame(replies, "reply string")).select(figures.description(F.col("reading"), F.lit("Cap")).alias("d")).collect()]
     assert got[0].startswith("Figure (line chart)\nCap\nTitle: T\nLegend: a, b\nData:\n0\n") and got[0].endswith("79\n... (5 more rows)") and got[1] is None and got[2] == "Figure (bar)\nCap"
