@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import chunking, enrich, incremental, nested, ordered
-from tesserine.plans import strategies
+from tesserine.plans import chunk_sql, strategies
 from tesserine.plans.preparation import PLACED
 from tesserine.runtime import load, once, stage, texts
 from tesserine.sources import parsed
@@ -263,6 +263,7 @@ _STORED = f"""stored AS (SELECT DISTINCT v.chunk_id, sha256(v.model || chr(10) |
 now AS (SELECT DISTINCT chunk_id, sha256('{MODEL}' || chr(10) || coalesce({_EMBEDDED}, '')) AS embed_hash FROM chunks)"""
 
 SQL = {
+    **chunk_sql.SQL,
     "table_markdown": PLACED
     + f""", g AS (SELECT *, unnest(range(coalesce(json_array_length(x, '$.data.grid'), 0)::BIGINT)) AS row FROM n),
 c AS (SELECT record_id, ref, row, k, replace(trim(regexp_replace(coalesce(json_extract_string(x, '$.data.grid[' || row || '][' || k || '].text'), ''), '{WS}', ' ', 'g')), '|', chr(92) || '|') AS t

@@ -2,12 +2,14 @@
 
 from collections import Counter
 
+from pandas import NA
+
 
 def canonical(df):
     def one(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v != v:
+        if v is None or v is NA or v != v:
             return "null"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
