@@ -35,8 +35,8 @@ b AS (SELECT doc_id, block_no, coalesce(kind, 'text') AS kind, coalesce(text, ''
 KEPT = f"kb AS (SELECT * FROM b WHERE len(list_filter(coalesce(heading_path, []), lambda h: {SECTION.format(h='h')} IN ({DROPPED}))) = 0)"
 
 
-def packed(strategy: str, limit: int, least: int, separate: bool, columns: str) -> str:
-    """Chunks of the blocks `b`, section by section."""
+def numbered(limit: int, least: int, separate: bool) -> str:
+    """The pieces `sz` of the blocks `b` and their chunks `al`, section by section."""
     most = int(limit / 1.3)
     figure = "kind = 'figure'" if separate else "false"
     table = "kind = 'table'" if separate else "false"
@@ -70,7 +70,12 @@ nu AS (
   SELECT doc_id, section_no, block_no, piece_no, CASE WHEN mg.g IS NOT NULL THEN fl.g - 1 ELSE fl.g END AS chunk_no FROM fl LEFT JOIN mg USING (doc_id, section_no, g)),
 al AS (
   SELECT * FROM nu UNION ALL SELECT z.doc_id, z.section_no, z.block_no, z.piece_no, coalesce(t.n, 0) + row_number() OVER (PARTITION BY z.doc_id, z.section_no ORDER BY z.block_no, z.piece_no) - 1
-  FROM sz z LEFT JOIN (SELECT doc_id, section_no, max(chunk_no) + 1 AS n FROM nu GROUP BY ALL) t USING (doc_id, section_no) WHERE z.aside),
+  FROM sz z LEFT JOIN (SELECT doc_id, section_no, max(chunk_no) + 1 AS n FROM nu GROUP BY ALL) t USING (doc_id, section_no) WHERE z.aside)"""
+
+
+def packed(strategy: str, limit: int, least: int, separate: bool, columns: str) -> str:
+    """Chunks of the blocks `b`."""
+    return f"""{numbered(limit, least, separate)},
 jo AS (SELECT sz.*, al.chunk_no, CASE WHEN lag(kind) OVER w IS NULL THEN '' WHEN kind = 'list_item' AND lag(kind) OVER w = 'list_item' THEN chr(10) ELSE chr(10) || chr(10) END AS sep
   FROM sz JOIN al USING (doc_id, section_no, block_no, piece_no) WINDOW w AS (PARTITION BY doc_id, section_no, chunk_no ORDER BY block_no, piece_no)),
 ch AS (SELECT doc_id, section_no, chunk_no, string_agg(sep || text, '' ORDER BY block_no, piece_no) AS text, arg_min(heading_path, block_no * 100000 + piece_no) AS heading_path,
@@ -155,6 +160,9 @@ SQL = {
     "hybrid_chunks": f"WITH RECURSIVE {BLOCKS}, {packed('hybrid', 400, 50, True, 'heading_path, pages, source_refs')}",
     "section_chunks": f"WITH RECURSIVE {BLOCKS}, {packed('section', 1200, 0, False, 'pages')}",
     "fixed_chunks": FIXED,
+    "packed_documents": f"""WITH RECURSIVE b AS (SELECT doc_id, i - 1 AS block_no, 'text' AS kind, s[i] AS text, ['all'] AS heading_path, NULL AS page, NULL AS source_refs, NULL AS title
+  FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE text IS NOT NULL)) WHERE len({words('s[i]')}) > 0), {numbered(400, 50, True)}
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, count(DISTINCT block_no) AS lines, CAST(sum(size) AS BIGINT) AS tokens FROM sz JOIN al USING (doc_id, section_no, block_no, piece_no) GROUP BY doc_id, chunk_no""",
     "parsed_blocks": f"WITH RECURSIVE {read_blocks(False)} SELECT * FROM pb",
     "parsed_chunks": f"WITH RECURSIVE {read_blocks(True)}, b AS (SELECT * FROM pb), {packed('hybrid_figlabels', 400, 50, True, 'pages')}",
 }

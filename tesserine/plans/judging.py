@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import answers, errors, evaluate, evidence, figures
-from tesserine.plans.retrieval import REF_IDS, passages
+from tesserine.plans.retrieval import REF_IDS, passages, segments
 from tesserine.runtime import load, once
 
 
@@ -147,14 +147,20 @@ def chart_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def validated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies that cite a recorded hit, checked against the passages they were given."""
-    rows = _generation(spark, sf_dir, "id", "question", "answer", "answer_value", "explanation", "answer_unit").where("id is not null")
+    """All answers as replies, checked against the passages they were given: the first three recorded hits of their question.
+
+    Every answer that is no abstention cites the first passage with its first 60 characters and the second, where there is
+    one, with the first segment of its own supporting materials (with its first 60 characters where it has none).
+    """
+    rows = _generation(spark, sf_dir, "id", "question", "answer", "answer_value", "explanation", "answer_unit", "supporting_materials").where("id is not null")
     p = passages(spark, sf_dir).select(F.col("item_id").alias("chunk_id"), "ref_id", "body")
     hits = load(spark, sf_dir, "search_hits").where("hit_rank <= 3").select(F.col("query_id").alias("gen_id"), "chunk_id").distinct().join(p, "chunk_id")
     given = hits.groupBy("gen_id").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "ref_id", F.concat(F.lit("https://library.example/"), "ref_id").alias("url"), F.col("body").alias("text")))).alias("passages"))
-    cited = F.transform(F.slice("passages", 1, 1), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), F.substring(x["text"], 1, 60).alias("quote")))
+    own = F.get(T.evidence(F.col("supporting_materials")), F.lit(0))
+    head = lambda x: F.substring(x["text"], 1, 60)
+    cited = F.transform(F.slice("passages", 1, 2), lambda x, i: F.struct(x["chunk_id"].alias("chunk_id"), F.when(i == 1, F.coalesce(own, head(x))).otherwise(head(x)).alias("quote")))
     none = F.array().cast("array<struct<chunk_id:string,quote:string>>")
-    rows = rows.join(given, "gen_id").withColumn("evidence", F.when(F.col("answer_value") == "is_blank", none).otherwise(cited))
+    rows = rows.join(given, "gen_id", "left").withColumn("evidence", F.when(F.col("answer_value") == "is_blank", none).otherwise(F.coalesce(cited, none)))
     replies = rows.select(F.col("gen_id").cast("string").alias("id"), "question", "answer_unit", F.to_json(F.struct("answer", "answer_value", "explanation", "evidence")).alias("reply"), "passages")
     return answers.validated(replies).select("id", "answer_value", "ref_id", "error")
 
@@ -188,7 +194,55 @@ s AS (SELECT gen_id, gold_value, CASE WHEN na AND ok THEN 'correct_na' WHEN na T
   round(0.75::DOUBLE * CAST(ok AS DOUBLE) + 0.2::DOUBLE * f1 + 0.05::DOUBLE * CAST(na = out AS DOUBLE), 6) AS score FROM k)
 """
 
+def _first_segment(s: str) -> str:
+    return f"(CASE WHEN len({segments('quoted', s)}) > 0 THEN {segments('quoted', s)} ELSE {segments('marked', s)} END)[1]"
+
+
+def _tidy(v: str) -> str:
+    plain = f"CASE WHEN regexp_matches({v}, '^-?[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?$') THEN replace({v}, ',', '') ELSE {v} END"
+    cut = f"regexp_replace(CAST(CAST(format('{{:.2e}}', CAST({v} AS DOUBLE)) AS DECIMAL(38, 18)) AS VARCHAR), '\\.?0+$', '')"
+    long = f"regexp_matches({v}, '^-?[0-9]+\\.[0-9]{{7,}}$') AND length(regexp_replace(regexp_replace({v}, '^[-0.]+', ''), '[^0-9]', '', 'g')) >= 7"
+    return f"CASE WHEN {long} THEN {cut} ELSE {plain} END"
+
+
+_STRIP = f"regexp_replace({{0}}, '^[{T.SPACES}]+|[{T.SPACES}]+$', '', 'g')"
+_REPLY = f"""WITH p AS (SELECT DISTINCT ON (chunk_id) chunk_id, metadata['ref_id'] AS ref_id, text AS body FROM chunks),
+h AS (SELECT query_id AS gen_id, list(p ORDER BY p.chunk_id) AS ps FROM (SELECT DISTINCT query_id, chunk_id FROM search_hits WHERE hit_rank <= 3) JOIN p USING (chunk_id) GROUP BY 1),
+g AS (SELECT gen_id, {_STRIP.format('answer')} AS a, {_STRIP.format('answer_value')} AS v, {_STRIP.format('explanation')} AS e, coalesce({_first_segment('supporting_materials')}, left(ps[2].body, 60)) AS own, ps[1] AS one, ps[2] AS two, answer_value IS DISTINCT FROM 'is_blank' AND ps IS NOT NULL AS cites
+  FROM (SELECT DISTINCT gen_id, id, answer, answer_value, explanation, supporting_materials FROM generation) LEFT JOIN h USING (gen_id) WHERE id IS NOT NULL),
+t AS (SELECT *, {_tidy('v')} AS value FROM g),
+c AS (SELECT *, CASE WHEN coalesce(a, '') = '' THEN 'answer is missing, blank or no text' WHEN coalesce(value, '') = '' THEN 'answer_value is missing, blank or no text' WHEN coalesce(e, '') = '' THEN 'explanation is missing, blank or no text'
+    WHEN value = 'is_blank' AND cites THEN 'an abstention cites evidence' WHEN value = 'is_blank' THEN NULL WHEN lower(value) IN ('nan', 'inf', '-inf', 'infinity', 'na', 'n/a') THEN 'the value is not finite' WHEN NOT cites THEN 'an answer cites nothing'
+    WHEN {_STRIP.format("left(one.body, 60)")} = '' THEN 'a quote is blank' WHEN coalesce(one.ref_id, '') = '' THEN 'a cited passage has no reference or no URL'
+    WHEN two IS NULL THEN NULL WHEN {_STRIP.format('own')} = '' THEN 'a quote is blank' WHEN NOT contains({_COLLAPSED.format('two.body')}, {_COLLAPSED.format('own')}) THEN 'a quote does not stand in its passage' WHEN coalesce(two.ref_id, '') = '' THEN 'a cited passage has no reference or no URL' END AS error FROM t)
+SELECT CAST(gen_id AS VARCHAR) AS id, CASE WHEN error IS NULL THEN value END AS answer_value,
+  CASE WHEN error IS NOT NULL THEN NULL WHEN value = 'is_blank' THEN value WHEN two IS NULL OR two.ref_id = one.ref_id THEN '["' || one.ref_id || '"]' ELSE '["' || one.ref_id || '", "' || two.ref_id || '"]' END AS ref_id, error FROM c"""
+_READS = f"""WITH r AS (SELECT DISTINCT gen_id, id, run_id, explanation, answer_value, answer_unit, ref_id, {REF_IDS} AS refs FROM generation WHERE id IS NOT NULL),
+g AS (SELECT id, arg_max({{'v': v, 'refs': refs}}, {{'r': run_id, 'g': gen_id}}) AS g FROM (SELECT *, {_NUMBER} AS v FROM r) WHERE v IS NOT NULL GROUP BY id),
+l AS (SELECT r.*, g.g.v AS gold, g.g.refs AS gold_refs, row_number() OVER (PARTITION BY id ORDER BY run_id, gen_id) AS rank, {{numbers}} AS ns FROM r JOIN g USING (id) QUALIFY rank <= 3),
+m AS (SELECT id, rank, len(list_intersect(refs, gold_refs)) > 0 AS from_gold, explanation IS NULL AS errored, len(ns) > 0 AS any_number,
+  len(list_filter(ns, lambda n: abs(n - gold) <= greatest(0.01 * greatest(abs(n), abs(gold)), 1e-9) OR round(n, places) = round(gold, places))) > 0 AS correct FROM (
+    SELECT *, list_filter(range(0, 14), lambda p: p = 13 OR round(gold, p :: INTEGER) = gold)[1] :: INTEGER AS places FROM l)),
+q AS (SELECT id, bool_or(from_gold AND rank = 1) AS g1, bool_or(from_gold) AS g3, bool_or(correct AND rank = 1) AS a1, bool_or(correct) AS a3, bool_or(correct AND from_gold AND rank = 1) AS s1, bool_or(correct AND from_gold) AS s3,
+  bool_or(rank = 1 AND any_number AND NOT correct) AS w1, count(*) FILTER (WHERE errored) AS e FROM m GROUP BY id)
+SELECT count(*) AS questions, CAST(sum(e) AS BIGINT) AS read_errors, avg(g1::DOUBLE) AS gold_doc_read_1, avg(g3::DOUBLE) AS gold_doc_read_3, avg(a1::DOUBLE) AS answer_1, avg(a3::DOUBLE) AS answer_3, avg(s1::DOUBLE) AS strict_answer_1, avg(s3::DOUBLE) AS strict_answer_3, avg(w1::DOUBLE) AS wrong_number_1 FROM q"""
+_REPLY_NUMBERS = _numbers_sql(
+    "regexp_replace(coalesce(list_filter(regexp_split_to_array(coalesce(explanation, ''), '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '[" + T.SPACES + "]', '', 'g') <> '')[1], ''), '(?i)\\bfig(?:ure)?s?\\.?\\s*[0-9]+(?:\\s*\\([0-9A-Za-z_]\\))?', ' ', 'g')"
+)
+
 SQL = {
+    "tidy_values": f"SELECT DISTINCT gen_id, {_tidy('answer_value')} AS value FROM generation WHERE answer_value IS NOT NULL",
+    "validated_answers": _REPLY,
+    "chart_answers": _READS.replace("{numbers}", _REPLY_NUMBERS),
+    "export_problems_by_run": f"""WITH r AS (SELECT DISTINCT gen_id, run_id, id, question, answer, answer_value, answer_unit, ref_id, ref_url, supporting_materials, explanation FROM generation),
+u AS (SELECT id, answer_unit, count(*) AS n FROM r WHERE id IS NOT NULL GROUP BY ALL), q AS (SELECT id, min(question) AS q FROM r WHERE id IS NOT NULL GROUP BY id),
+v AS (SELECT id, answer_unit AS u FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, answer_unit NULLS FIRST) = 1),
+w AS (SELECT q.id, q, u, run_id FROM q JOIN v USING (id), (SELECT DISTINCT run_id FROM r WHERE run_id IS NOT NULL)),
+b AS (SELECT coalesce(w.run_id, a.run_id) AS run_id, coalesce(w.id, a.id) AS id, CASE WHEN a.gen_id IS NULL THEN 'missing id' WHEN w.id IS NULL THEN 'unknown id'
+  WHEN len(list_filter([a.id, question, answer, answer_value, ref_id, ref_url, supporting_materials, explanation], lambda x: {_STRIP.format("coalesce(x, '')")} = '')) > 0 THEN 'blank field'
+  WHEN question <> q OR answer_unit IS DISTINCT FROM u THEN 'changed input'
+  WHEN answer_value = 'is_blank' AND NOT (ref_id = 'is_blank' AND ref_url = 'is_blank' AND supporting_materials = 'is_blank') THEN 'abstention with evidence' END AS problem FROM w FULL JOIN r a ON w.id = a.id AND w.run_id = a.run_id)
+SELECT run_id, id, problem FROM b WHERE problem IS NOT NULL UNION ALL SELECT run_id, id, 'repeated id' FROM r GROUP BY run_id, id HAVING count(*) > 1""",
     "numbers_in": f"SELECT doc_id, len(n) AS numbers, coalesce(n[1], 0) AS least, coalesce(n[-1], 0) AS most FROM (SELECT doc_id, {_numbers_sql('text')} AS n FROM documents WHERE text IS NOT NULL)",
     "reply_numbers": f"""SELECT gen_id, len(n) AS numbers, coalesce(round(list_sum(n), 4), 0) AS total FROM (SELECT gen_id, {_numbers_sql("regexp_replace(coalesce(l[1], ''), '(?i)\\bfig(?:ure)?s?\\.?\\s*[0-9]+(?:\\s*\\([0-9A-Za-z_]\\))?', ' ', 'g')")} AS n
   FROM (SELECT gen_id, list_filter(regexp_split_to_array(coalesce(explanation, ''), '\\r\\n|[\\n\\r]'), lambda x: regexp_replace(x, '[{T.SPACES}]', '', 'g') <> '') AS l FROM (SELECT DISTINCT gen_id, explanation FROM generation)))""",

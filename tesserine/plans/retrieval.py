@@ -236,6 +236,43 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)
 _WORDS6 = f"list_filter(list_transform(flatten(list_transform({{0}}, lambda p: string_split_regex(p, '\\.\\.\\.|…|\\s--\\s'))), lambda p: regexp_replace(p, '^[ .…''\"]+|[ .…''\"]+$', '', 'g')), lambda p: len(list_filter(regexp_split_to_array(p, '[{T.SPACES}]+'), lambda w: w <> '')) >= 6)"
 _MARK = "string_split(regexp_replace(regexp_replace(coalesce(s, ''), '(?i)^\\s*(?:quote|evidence)\\s*:\\s*', ''), '\\b[a-z]+[0-9]{4}[a-z]?\\s*:\\s*', chr(31), 'g'), chr(31))"
 
+
+
+def segments(which: str, s: str) -> str:
+    """The verbatim segments of a column of supporting materials: quoted ones, or those between marks."""
+    parts = f"regexp_extract_all(coalesce({s}, ''), '[\"“]([^\"”]+)[\"”]', 1)" if which == "quoted" else _MARK.replace("coalesce(s, '')", f"coalesce({s}, '')")
+    return _WORDS6.format(parts)
+
+
+# Difflib's matching blocks: the longest common run of words (the first in the segment, then in the passage, of equally long
+# ones), then the same before and behind it. n numbers the words of segments `sg` and passages `pg`, `pairs` names them.
+_ALIGNED = """held AS (SELECT segment_id, item_id, contains(' ' || array_to_string(p.t, ' ') || ' ', ' ' || array_to_string(s.t, ' ') || ' ') AS whole FROM pairs JOIN sg s USING (segment_id) JOIN pg p USING (item_id)),
+todo AS (SELECT segment_id, item_id FROM held WHERE NOT whole),
+sx AS (SELECT segment_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS i FROM sg WHERE segment_id IN (SELECT segment_id FROM todo)),
+px AS (SELECT item_id, unnest(t) AS w, unnest(range(1, len(t) + 1)) AS j FROM pg WHERE item_id IN (SELECT item_id FROM todo)),
+mt AS (SELECT segment_id, item_id, i, j FROM todo JOIN sx USING (segment_id) JOIN px USING (item_id, w)),
+mr AS (SELECT segment_id, item_id, i, j, max(i) OVER (PARTITION BY segment_id, item_id, i - j, part) - i + 1 AS len FROM (
+  SELECT *, i - row_number() OVER (PARTITION BY segment_id, item_id, i - j ORDER BY i) AS part FROM mt)),
+lx AS (SELECT segment_id, item_id, min({'m': -len, 'i': i, 'j': j}) AS x FROM mr GROUP BY ALL),
+ij AS (SELECT segment_id, item_id, i, min(j) AS low, max(j) AS high FROM mt GROUP BY ALL),
+ok AS (SELECT segment_id, item_id FROM ij JOIN lx USING (segment_id, item_id) JOIN sg USING (segment_id) GROUP BY segment_id, item_id  -- what can still match beside the longest run
+  HAVING -any_value(x.m) + count(*) FILTER (WHERE i < x.i AND low < x.j) + count(*) FILTER (WHERE i >= x.i - x.m AND high >= x.j - x.m) >= 0.7 * len(any_value(t))),
+bl AS (
+  SELECT segment_id, item_id, len(any_value(s.t)) + 1 AS b, len(any_value(p.t)) + 1 AS d, list({'i': i, 'j': j, 'n': mr.len}) AS ms, 0 :: BIGINT AS size FROM mr SEMI JOIN ok USING (segment_id, item_id) JOIN sg s USING (segment_id) JOIN pg p USING (item_id) GROUP BY segment_id, item_id
+  UNION ALL SELECT segment_id, item_id, CASE WHEN side = 1 THEN x.i ELSE b END, CASE WHEN side = 1 THEN x.j ELSE d END,
+    CASE WHEN side = 1 THEN list_filter(ms, lambda m: m.i < x.i AND m.j < x.j) ELSE list_filter(ms, lambda m: m.i >= x.i - x.m AND m.j >= x.j - x.m) END, CASE WHEN side = 1 THEN -x.m ELSE 0 END
+  FROM (SELECT *, list_min(list_transform(ms, lambda m: {'m': -least(m.n, b - m.i, d - m.j), 'i': m.i, 'j': m.j})) AS x FROM bl WHERE len(ms) > 0), (VALUES (1), (2)) AS sides(side)),
+cv AS (SELECT segment_id, item_id, sum(size) AS same FROM bl GROUP BY ALL),
+covered AS (SELECT segment_id, item_id, 1.0 :: DOUBLE AS coverage FROM held WHERE whole UNION ALL SELECT segment_id, item_id, same / len(t)::DOUBLE FROM cv JOIN sg USING (segment_id) WHERE same / len(t)::DOUBLE >= 0.7)"""
+
+
+def _pairs_sql() -> str:
+    """The pairs of one group of which the passage has seven tenths of the segment's words, from sg and pg (id, g, t)."""
+    return """sw AS (SELECT segment_id, g, len, term, count(*) AS n FROM (SELECT segment_id, g, len(t) AS len, unnest(t) AS term FROM sg) GROUP BY ALL),
+pw AS (SELECT item_id, g, term, count(*) AS n FROM (SELECT item_id, g, unnest(t) AS term FROM pg) GROUP BY ALL),
+pairs AS (SELECT segment_id, item_id FROM sw JOIN pw USING (g, term) GROUP BY segment_id, item_id HAVING sum(least(sw.n, pw.n)) >= ceil(0.7 * max(len) - 1e-9))"""
+
+
 SQL = {
     "bm25_topk": f"WITH {BASE}, {bm25_sql()} SELECT * FROM bm25 WHERE rank <= 10",
     "bm25_filtered": f"""WITH {BASE}, {bm25_sql("kind = 'table'")} SELECT * FROM bm25 WHERE rank <= 10""",
@@ -269,6 +306,20 @@ SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY part
 sw AS (SELECT segment_id, doc_id, len, term, count(*) AS n FROM (SELECT segment_id, doc_id, len(t) AS len, unnest(t) AS term FROM s) GROUP BY ALL),
 pw AS (SELECT item_id, doc_id, term, count(*) AS n FROM (SELECT chunk_id AS item_id, doc_id, unnest({terms_sql('text', False)}) AS term FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks)) GROUP BY ALL)
 SELECT segment_id, item_id, CAST(sum(least(sw.n, pw.n)) AS BIGINT) AS shared, max(len) AS words FROM sw JOIN pw USING (doc_id, term) GROUP BY segment_id, item_id HAVING sum(least(sw.n, pw.n)) >= ceil(0.7 * max(len) - 1e-9)""",
+    "evidence_coverage": f"""WITH RECURSIVE sg AS (SELECT DISTINCT block_id AS segment_id, doc_id AS g, {terms_sql('text', False)} AS t FROM blocks WHERE kind = 'text' AND len(source_refs) > 0),
+pg AS (SELECT chunk_id AS item_id, doc_id AS g, {terms_sql('text', False)} AS t FROM (SELECT DISTINCT ON (chunk_id) * FROM chunks)), {_pairs_sql()}, {_ALIGNED} SELECT segment_id, item_id, coverage FROM covered""",
+    "retrieval_metrics": f"""WITH RECURSIVE {BASE}, qs AS (SELECT * FROM q WHERE query_id IN (SELECT query_id FROM (SELECT query_id, unnest(refs) AS ref_id FROM q) SEMI JOIN p USING (ref_id))),
+{bm25_sql('true', 'qs')}, r AS (SELECT * FROM bm25 WHERE rank <= 20),
+sl AS (SELECT query_id, g, CASE WHEN len(a) > 0 THEN a ELSE b END AS l FROM (SELECT DISTINCT query_id, unnest(refs) AS g, {segments('quoted', 's')} AS a, {segments('marked', 's')} AS b FROM qs JOIN (SELECT DISTINCT ON (gen_id) gen_id AS query_id, supporting_materials AS s FROM generation) USING (query_id))),
+sg AS (SELECT query_id || ':' || g || ':' || i AS segment_id, query_id, g, {terms_sql('l[i]', False)} AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM sl)),
+pg AS (SELECT item_id, ref_id AS g, {terms_sql('body', False)} AS t FROM p WHERE ref_id IS NOT NULL), {_pairs_sql()}, {_ALIGNED},
+gp AS (SELECT DISTINCT query_id, item_id FROM covered JOIN sg USING (segment_id)),
+x AS (SELECT qs.query_id, min(rank) FILTER (WHERE list_contains(refs, p.ref_id)) AS dr, min(rank) FILTER (WHERE gp.item_id IS NOT NULL) AS pr,
+  coalesce(sum(ceil(len(list_filter(regexp_split_to_array(p.body, '[{T.SPACES}]+'), lambda w: w <> '')) * 1.3::DOUBLE)) FILTER (WHERE rank <= 5), 0) AS ctx
+  FROM qs LEFT JOIN r USING (query_id) LEFT JOIN p USING (item_id) LEFT JOIN gp ON gp.query_id = qs.query_id AND gp.item_id = r.item_id GROUP BY qs.query_id),
+y AS (SELECT x.*, x.query_id IN (SELECT query_id FROM gp) AS has FROM x)
+SELECT count(*) AS questions, count(*) FILTER (WHERE has) AS passage_questions, {', '.join(f"round(avg(CASE WHEN dr <= {k} THEN 1.0::DOUBLE ELSE 0 END), 6) AS doc_recall_{k}" for k in (1, 5, 10, 20))},
+  {', '.join(f"round(avg(CASE WHEN pr <= {k} THEN 1.0::DOUBLE ELSE 0 END) FILTER (WHERE has), 6) AS passage_recall_{k}" for k in (1, 5, 10, 20))}, round(avg(coalesce(1.0::DOUBLE / pr, 0)) FILTER (WHERE has), 6) AS passage_mrr, round(avg(ctx), 6) AS ctx_tokens_5 FROM y""",
     "doc_ranks": f"""WITH {BASE}, qs AS (SELECT * FROM q WHERE query_id IN (SELECT query_id FROM (SELECT query_id, unnest(refs) AS ref_id FROM q) SEMI JOIN p USING (ref_id))),
 {bm25_sql('true', 'qs')}, r AS (SELECT * FROM bm25 WHERE rank <= 20)
 SELECT qs.query_id, coalesce(min(rank) FILTER (WHERE list_contains(refs, p.ref_id)), 0) AS doc_rank,
