@@ -29,15 +29,22 @@ REFUSALS = tuple(
         "i cannot share", "i can't share", "i cannot discuss", "i can't discuss", "i cannot comply", "i can't comply", "i cannot comment", "i can't comment", "i am unable to", "i'm unable to",
         "i'm not able to", "i am not able to", "i won't be", "i will not be giving", "i will not answer", "i must decline", "i have to decline", "i decline to",
         "i do not have permission", "i don't have permission", "i am not allowed to", "i'm not allowed to", "i am not permitted to", "i'm not permitted to",
+        "i can not provide", "i can not help", "i can't help", "i cannot help", "i can not answer", "i can not assist", "i can not share", "i can not discuss", "i can not comply", "i can not comment", "i could not help", "i couldn't help with",
+        "i will refrain from", "i refrain from", "i must refrain from", "i would rather not", "i'd rather not", "i prefer not to", "i would prefer not to", "i will not provide", "i will not help", "i will not discuss", "i will not comment",
+        "i won't answer", "i won't provide", "i won't help", "i won't discuss", "i won't comment", "i refuse to", "i have to refuse", "i must refuse", "i cannot fulfil", "i cannot fulfill", "i can't fulfil", "i can't fulfill", "i cannot respond", "i can't respond", "i cannot disclose", "i can't disclose",
         "would not be appropriate for me", "wouldn't be appropriate for me", "outside what i am allowed", "outside what i'm allowed", "as a language model", "as an ai",
         "kann ich … nicht beantworten", "ich kann … nicht beantworten", "darf ich … keine auskunft", "ich darf … keine auskunft", "kann ich … keine auskunft", "ich kann … keine auskunft",
         "kann ich … nicht helfen", "ich kann … nicht helfen", "ich muss … ablehnen", "muss ich … ablehnen", "bin ich nicht befugt", "ich bin nicht befugt", "als sprachmodell",
         "je ne peux pas répondre", "je ne peux pas vous aider", "je ne peux pas fournir", "je ne suis pas en mesure", "je ne suis pas autorisé", "je refuse de", "je dois refuser", "en tant que modèle de langage",
+        "je ne peux pas vous répondre", "je ne peux pas vous fournir", "je ne peux pas donner", "je préfère ne pas répondre", "je ne souhaite pas répondre", "je dois décliner", "ich möchte … nicht beantworten", "ich werde … nicht beantworten", "ich verweigere", "ich lehne … ab",
+        "no puedo contestar", "no puedo compartir", "prefiero no responder", "me niego a", "tengo que rechazar", "no quiero responder",
+        "non posso rispondere", "non posso aiutare", "non posso aiutarti", "non posso fornire", "non sono in grado di rispondere", "non sono autorizzato", "non sono autorizzata", "devo rifiutare", "come modello linguistico",
+        "não posso responder", "não posso ajudar", "não posso fornecer", "não estou autorizado", "não estou autorizada", "devo recusar", "como modelo de linguagem", "ik kan … niet beantwoorden", "ik kan … niet helpen", "ik mag … niet beantwoorden", "als taalmodel",
         "no puedo responder", "no puedo ayudar", "no puedo proporcionar", "no estoy autorizado", "no estoy autorizada", "no tengo permiso", "no me es posible", "debo negarme", "como modelo de lenguaje",
     )
 )
 _BY_FIRST = {first: tuple(t for t in REFUSALS if t[0] == first) for first in {t[0] for t in REFUSALS}}
-ROLES = frozenset(("as", "als", "en", "como"))  # first words of the templates that name a role
+ROLES = frozenset(("as", "als", "en", "como", "come"))  # first words of the templates that name a role
 SPEAKER = frozenset("i i'm i'd me my ich mir mein je j'ai me yo mi".split())
 # Words that hold sentences together, by language; words of two lists count for both.
 FUNCTION_WORDS = {
@@ -61,6 +68,7 @@ DANGLING = frozenset(
     "le la les un une des du de et ou avec pour par sur dans parce qui que selon sans "
     "el los las un una unos unas y o con para por porque según del al en sin".split()
 )
+SHORT = 8  # words of a response that is judged by two function words
 NOTE_WORDS = 8  # a note without a final stop is at most this long
 # Words that open a clause, never a note; and words that open a sentence as well as a note.
 CLAUSES = frozenset(
@@ -203,13 +211,18 @@ def language_scores(text: str, tokens: list) -> dict[str, float]:
 
 
 def other_language(question: str, response: str) -> bool:
-    """The response is in another language than the question: the question's own language clearly is not its best."""
+    """The response is in another language than the question: the question's own language clearly is not its best.
+
+    Evidence are function words, three of them at least; in a response of fewer than SHORT words two, and three times as many as of the own language.
+    """
     asked = language_scores(question, words(question))
     given_words = words(response)
     given = language_scores(response, given_words)
     mine = max(asked, key=asked.get)
     best = max(given, key=given.get)
-    return asked[mine] >= 2 and given[best] >= 3 and given[best] >= 0.12 * len(given_words) and given.get(mine, 0.0) * 1.3 <= given[best]
+    short = len(given_words) < SHORT
+    enough = given[best] >= (max(2.0, 3 * given.get(mine, 0.0)) if short else 3)
+    return asked[mine] >= 2 and enough and given[best] >= 0.12 * len(given_words) and given.get(mine, 0.0) * 1.3 <= given[best]
 
 
 def breaks_off(text: str, note_ends_in: str | None = None) -> str | None:
@@ -279,9 +292,8 @@ def judge(question: str | None, value: str | None, explanation: str | None, blan
     if ends == "yes" or (v != blank and _value_breaks_off(v, vw)):
         # a foreign text may use another full stop, but one without any end is cut off in any language
         return "truncated"
-    if len(ew) >= NOTE_WORDS or not e.isascii():
-        if other_language(q, e):
-            return "language"
+    if other_language(q, e):
+        return "language"
     return "truncated" if ends == "note" and not is_note(q, v, e) else None
 
 

@@ -9,22 +9,22 @@ from pyspark.sql import functions as F
 
 from tesserine.llm import confusables, mixing, neighbours, packing, pairs, spans, splitting
 from tesserine.plans.corpus import tokens_sql
-from tesserine.runtime import load, stage
+from tesserine.runtime import load, once, stage, texts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of at least 0.85 of which one is among the other's ten most similar vectors."""
-    found = neighbours.most_similar(load(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=32, min_score=0.85)
+    found = neighbours.most_similar(texts(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=32, min_score=0.85)
     return neighbours.similar_pairs(found)
 
 
 def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar vectors of every usable vector, with their cosine, whatever it is."""
-    return neighbours.most_similar(load(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=64)
+    return neighbours.most_similar(texts(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=64)
 
 
 def _p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, chunks = load(spark, sf_dir, "blocks"), load(spark, sf_dir, "chunks")
+    blocks, chunks = texts(spark, sf_dir, "blocks"), texts(spark, sf_dir, "chunks")
     parts = (
         confusables.forms(blocks, "block_id", "text").withColumn("field", F.lit("block.text")),
         confusables.forms(chunks, "chunk_id", "text").withColumn("field", F.lit("chunk.text")),
@@ -45,18 +45,18 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All chunks with text and heading path in the consistent form."""
-    return confusables.unified(load(spark, sf_dir, "chunks").select("chunk_id", "text", "heading_path").dropDuplicates(["chunk_id"]), "text", "heading_path")
+    return confusables.unified(once(texts(spark, sf_dir, "chunks").select("chunk_id", "text", "heading_path"), "chunk_id"), "text", "heading_path")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective pairs of question and answer with their type of defect."""
-    return pairs.broken_pairs(load(spark, sf_dir, "generation"))
+    return pairs.broken_pairs(texts(spark, sf_dir, "generation"))
 
 
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every block and chunk of more than 400 tokens, with 50 tokens of overlap."""
-    blocks = splitting.split_oversized(load(spark, sf_dir, "blocks"), "block_id").withColumn("item_table", F.lit("block"))
-    chunks = splitting.split_oversized(load(spark, sf_dir, "chunks"), "chunk_id").withColumn("item_table", F.lit("chunk"))
+    blocks = splitting.split_oversized(texts(spark, sf_dir, "blocks"), "block_id").withColumn("item_table", F.lit("block"))
+    chunks = splitting.split_oversized(texts(spark, sf_dir, "chunks"), "chunk_id").withColumn("item_table", F.lit("chunk"))
     return blocks.unionByName(chunks)
 
 
@@ -67,7 +67,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of containers of 2,048 tokens that hold all documents."""
-    return packing.containers(load(spark, sf_dir, "documents"), capacity=2048)
+    return packing.containers(texts(spark, sf_dir, "documents"), capacity=2048)
 
 
 def p8_used(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ def p8_used(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the largest mixture in which every source has its target share."""
-    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
+    return mixing.mixture(texts(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of every document is shared with another document in spans of at least 200 characters."""
-    return spans.shared_spans(load(spark, sf_dir, "documents"), "doc_id", "text", least=200)
+    return spans.shared_spans(texts(spark, sf_dir, "documents"), "doc_id", "text", least=200)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the sentences that a non-first repeated span covers."""
-    return spans.without_repeats(load(spark, sf_dir, "documents"), "doc_id", "text", least=200)
+    return spans.without_repeats(texts(spark, sf_dir, "documents"), "doc_id", "text", least=200)
 
 
 QUERIES = {

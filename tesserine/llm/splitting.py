@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.runtime import once
+
 TOKENS_PER_WORD = 1.3
 WORD = re.compile(r"\S+")
 PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
@@ -158,4 +160,4 @@ def split_oversized(items: DataFrame, key: str, text: str = "text", kind: str |
             kinds = (pa.string(), *[pa.int32()] * 5, pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, kd) for c, kd in zip(out, kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return rows.mapInArrow(run, PIECES).dropDuplicates(["item_key", "piece_no"])
+    return once(rows, "item_key").mapInArrow(run, PIECES)

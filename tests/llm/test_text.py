@@ -95,6 +95,16 @@ def test_refusal_after_a_long_preamble(text, refuses):
     assert (pairs.judge(Q, "5", text, "is_blank") == "refusal") == refuses
 
 
+@pytest.mark.parametrize("text", ["I'm afraid I can not help with that request.", "I will refrain from answering this question.", "Mi dispiace, non posso rispondere a questa domanda.", "word " * 35 + "I cannot provide the figure.", "Não posso responder a essa pergunta."])
+def test_refusals_in_other_words(text):
+    assert pairs.judge(Q, "5", text, "is_blank") == "refusal"
+
+
+@pytest.mark.parametrize(("text", "defect"), [("La respuesta es correcta.", "language"), ("Der Wert ist in der Tabelle.", "language"), ("La valeur est dans le tableau.", "language"), ("See Table 4.", None), ("The value is in the table.", None), ("In Côtebrune, see the table.", None)])
+def test_language_of_short_responses(text, defect):
+    assert pairs.judge(Q, "5", text, "is_blank") == defect
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
 def test_common_subsequence(a, b):
