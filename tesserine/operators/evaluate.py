@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as T
+from tesserine.operators import evidence
+from tesserine.runtime import stage
+
 
 def first_ranks(questions: DataFrame, ranking: DataFrame, gold: DataFrame, name: str) -> DataFrame:
     """questions with `name`: the best rank at which a gold item (query_id, item_id) stands, null where none does."""
@@ -25,6 +29,23 @@ def gold_items(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return refs.join(chunks.select("item_id", "ref_id"), "ref_id").select("query_id", "item_id")
 
 
+def judged(questions: DataFrame, passages: DataFrame, ranking: DataFrame) -> DataFrame:
+    """questions (query_id, refs, evidence) with doc_rank, passage_rank, has_passage and ctx_tokens, what summary() is made from.
+
+    passages(item_id, ref_id, body). A gold passage is one of a paper the question refers to that covers one of the segments of
+    `evidence` in order; a question has one where any such passage exists, found or not.
+    """
+    refs = questions.select("query_id", F.explode("refs").alias("group"), "evidence").distinct()
+    segments = refs.select("query_id", "group", F.posexplode("evidence").alias("n", "text")).withColumn("segment_id", F.concat_ws("\u0001", "query_id", "n"))
+    covered = evidence.coverage(segments.select("segment_id", "group", "text"), passages.select("item_id", F.col("ref_id").alias("group"), F.col("body").alias("text")))
+    kind = dict(questions.dtypes)["query_id"]
+    gold = stage(covered.select(F.split("segment_id", "\u0001")[0].cast(kind).alias("query_id"), "item_id").distinct(), "gold-passages")
+    results = first_ranks(questions, ranking, gold_items(questions, passages), "doc_rank")
+    results = first_ranks(results, ranking, gold, "passage_rank")
+    results = results.join(gold.select("query_id").distinct().withColumn("has_passage", F.lit(True)), "query_id", "left").fillna(False, ["has_passage"])
+    return context_tokens(results, ranking, passages.select("item_id", T.approx_tokens(F.col("body")).alias("tokens")))
+
+
 def summary(results: DataFrame, ks=(1, 5, 10, 20)) -> DataFrame:
     """One row of metrics from (query_id, doc_rank, passage_rank, has_passage, ctx_tokens).
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
 from tesserine.operators import dense, fusion, incremental, lexical
+from tesserine.sources.files import unique
 
 
 @dataclass
@@ -58,8 +59,9 @@ class Dense:
         return f"dense-{self.model}" + ("" if self.instruction else "-noinstr")
 
     def fit(self, passages: DataFrame) -> Dense:
-        """Items get dense numbers by hash; the names come back by join, so any type of item_id will do."""
+        """Items get numbers by hash, which are checked to be different; the names come back by join, so any type of item_id will do."""
         self.vectors = passages.select("item_id", F.xxhash64("item_id").alias("key"), self.embed(F.col("text")).alias("v"))
+        unique(self.vectors.select("key", "item_id").distinct(), "key")
         return self
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:

@@ -159,16 +159,7 @@ def doc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of papers and passages, mean reciprocal rank and context size of BM25."""
     p, q, ranking = _judged(spark, sf_dir)
-    refs = q.select("query_id", F.explode("refs").alias("group"), "supporting").distinct()
-    segments = refs.select("query_id", "group", F.posexplode(T.evidence(F.col("supporting"))).alias("n", "text"))
-    segments = segments.withColumn("segment_id", F.concat_ws(":", "query_id", "n"))
-    covered = evidence.coverage(segments.select("segment_id", "group", "text"), p.select("item_id", F.col("ref_id").alias("group"), F.col("body").alias("text")))
-    gold = stage(covered.select(F.split("segment_id", ":")[0].cast("long").alias("query_id"), "item_id").distinct(), "gold-passages")
-    results = evaluate.first_ranks(q, ranking, evaluate.gold_items(q, p), "doc_rank")
-    results = evaluate.first_ranks(results, ranking, gold, "passage_rank")
-    results = results.join(gold.select("query_id").distinct().withColumn("has_passage", F.lit(True)), "query_id", "left").fillna(False, ["has_passage"])
-    results = evaluate.context_tokens(results, ranking, p.select("item_id", T.approx_tokens(F.col("body")).alias("tokens")))
-    return evaluate.summary(results)
+    return evaluate.summary(evaluate.judged(q.withColumn("evidence", T.evidence(F.col("supporting"))), p, ranking))
 
 
 QUERIES = {

@@ -73,9 +73,14 @@ def _clean(folder: str) -> None:
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors."""
+    """Writes df to the shared folder and reads it back: cuts the lineage and outlives lost executors.
+
+    The table goes when the driver ends; a session that lives long calls release() once its results are written.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, where = _hadoop(df.sparkSession, path)
+    fs.deleteOnExit(where)  # with the driver's JVM; release() does it earlier
     _STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -83,8 +88,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Deletes the tables this process staged; results that still read them must have been written before."""
     while _STAGED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = _hadoop(spark, _STAGED.pop())
+        fs.delete(path, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -39,8 +39,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from JSON lines; an empty embed_text is the text. Repeated chunk_ids are an error when they are read."""
-    df = spark.read.schema(CHUNKS).json(path)
+    """Chunks from JSON lines; an empty embed_text is the text. Repeated chunk_ids are an error."""
+    df = unique(spark.read.schema(CHUNKS).json(path), "chunk_id")
     return df.withColumn("embed_text", F.coalesce(F.nullif("embed_text", F.lit("")), F.col("text")))
 
 

@@ -65,9 +65,12 @@ def install(spark: SparkSession, path: str, target: str, force: bool = False) ->
         found = df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in df.columns])), F.lit(0)).alias("digest")).first()
         if (found.rows, found.digest) != (facts["rows"], facts["digest"]):
             raise SnapshotError(f"{name} is not what the manifest says")
+    stamp = manifest["created_at"].replace(":", "")
+    for name in manifest["parts"]:  # all parts are written before any is put in its place
+        spark.read.parquet(f"{path}/{name}").write.mode("overwrite").parquet(f"{target}/{name}.{stamp}.new")
     for name in manifest["parts"]:
+        fs, place = _fs(spark, f"{target}/{name}")
         if name in taken:
-            fs, old = _fs(spark, f"{target}/{name}")
-            fs.rename(old, _fs(spark, f"{target}/{name}.{manifest['created_at'].replace(':', '')}.old")[1])
-        spark.read.parquet(f"{path}/{name}").write.parquet(f"{target}/{name}")
+            fs.rename(place, _fs(spark, f"{target}/{name}.{stamp}.old")[1])
+        fs.rename(_fs(spark, f"{target}/{name}.{stamp}.new")[1], place)
     return manifest

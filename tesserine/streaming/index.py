@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tesserine.operators import incremental
 from tesserine.sources.files import CHUNKS
+from tesserine.sources.snapshot import exists
+
+BUCKETS = 64  # partitions of an index
 
 
 def index_stream(spark: SparkSession, source: str, index: str, checkpoint: str, model: str, vectors: Callable[[DataFrame], DataFrame], schema: str = CHUNKS):
@@ -17,17 +19,18 @@ def index_stream(spark: SparkSession, source: str, index: str, checkpoint: str,
 
     Every micro-batch is compared with the index by (chunk_id, embed_hash); what is new or changed gets a vector
     (`vectors` adds the column `vector`) and is appended with the batch's number, so a repeated batch after a failure adds
-    nothing twice and the last row of a chunk counts (incremental.latest).
+    nothing twice and the last row of a chunk counts (incremental.latest). The index is partitioned by a hash of the chunk;
+    of the partitions that a batch has chunks in, ids and hashes are read, never vectors.
     """
+    bucket = F.pmod(F.xxhash64("chunk_id"), F.lit(BUCKETS)).cast("int")
 
     def upsert(batch: DataFrame, number: int) -> None:
-        current = incremental.hashed(batch, model)
-        try:
-            stored = incremental.latest(spark.read.parquet(index), "batch")
-            current = incremental.changed(current, stored)
-        except AnalysisException:  # no index yet
-            pass
-        vectors(current).withColumn("batch", F.lit(number).cast("long")).write.mode("append").parquet(index)
+        current = incremental.hashed(batch, model).withColumn("bucket", bucket)
+        if exists(spark, index):
+            touched = [r.bucket for r in current.select("bucket").distinct().collect()]  # at most BUCKETS numbers
+            known = spark.read.parquet(index).where(F.col("bucket").isin(touched)).groupBy("chunk_id").agg(F.max_by("embed_hash", "batch").alias("embed_hash"))
+            current = incremental.changed(current, known)
+        vectors(current).withColumn("batch", F.lit(number).cast("long")).write.mode("append").partitionBy("bucket").parquet(index)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

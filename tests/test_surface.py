@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserine import __main__ as cli
+from tesserine.functions import text as T
 from tesserine.operators import reports, retrievers
 from tesserine.sources import files, parsed, snapshot
 
@@ -111,12 +112,62 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["evaluate", chunks, str(tmp_path / "q.csv"), "--retriever", "bm25,hybrid"])
     out = capsys.readouterr().out
     assert "rrf(bm25+dense-hashed-noinstr, k=60 w=1,1)" in out and "| 1 | 0 | 1.000 |" in out
+    (tmp_path / "q2.csv").write_text("id,question,ref_id,supporting_materials,is_NA\n1,urban cooling water,r1,\"\"\"cooling water in the data hall is measured\"\"\",0\n")
+    cli.main(["evaluate", chunks, str(tmp_path / "q2.csv"), "--retriever", "bm25"])
+    tokens = T.approx_tokens(F.col("text"))
+    total = sum(r.t for r in files.read_chunks(spark, chunks).select(tokens.alias("t")).collect())
+    assert "| 1 | 1 | 1.000 | 1.000 | 1.000 | 1.000 | 1.000 | 1.000 | 1.000 | 1.000 | 1.000 | " in (out := capsys.readouterr().out) and f"{total:.3f} |" in out
+    cli.main(["sweep", chunks, str(tmp_path / "q2.csv"), "--rrf-ks", "60", "--dense-weights", "0.1"])
+    assert "| 1 | 1 | 1.000 |" in capsys.readouterr().out
+    kept = str(tmp_path / "kept.jsonl")
+    files.write_chunks(files.read_chunks(spark, chunks).where("doc_id <> 'd0'"), kept)
+    cli.main(["index", kept, index, "--prune"])
+    assert spark.read.parquet(index).count() == 2 and "| 0 | 2 | 1 | 0 |" in capsys.readouterr().out
+    cli.main(["delete", index, "d1"])
+    assert [r.chunk_id for r in spark.read.parquet(index).collect()] == ["d2::hybrid::0000"]
+    cli.main(["delete", index, "--all"])
+    assert spark.read.parquet(index).count() == 0
+    cli.main(["index", chunks, index])
     cli.main(["sweep", chunks, str(tmp_path / "q.csv"), "--rrf-ks", "60", "--dense-weights", "0.1"])
     cli.main(["publish", str(tmp_path / "snap"), index])
     cli.main(["install", str(tmp_path / "snap"), str(tmp_path / "back")])
     assert spark.read.parquet(str(tmp_path / "back" / "index")).count() == 3
 
 
+MODEL = """
+import json
+def reply(row):
+    p = row["passages"][0]
+    value = "oops" if row["id"] == "2" and not __import__("os").path.exists(FLAG) else "1,234"
+    quote = "invented" if value == "oops" else " ".join(p["text"].split()[:4])
+    return json.dumps({"answer": "a", "answer_value": value, "explanation": "e.", "evidence": [{"chunk_id": p["chunk_id"], "quote": quote}]})
+"""
+
+
+def test_generate_and_analyze(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("PYTHONPATH", str(tmp_path))
+    (tmp_path / "fake_model.py").write_text(f"FLAG = {str(tmp_path / 'flag')!r}\n" + MODEL)
+    spark.sparkContext.addPyFile(str(tmp_path / "fake_model.py"))
+    (tmp_path / "docs").mkdir()
+    for i in range(3):
+        (tmp_path / "docs" / f"d{i}.json").write_text(DOC % (i, ("rural", "urban", "coastal")[i], i))
+    (tmp_path / "meta.csv").write_text("id,type,title,year,url,local_path\n" + "".join(f"r{i},paper,T{i},2020,u{i},x/d{i}.pdf\n" for i in range(3)))
+    (tmp_path / "q.csv").write_text("id,question,answer_unit\n1,urban cooling water,L\n2,coastal cooling water,L\n")
+    (tmp_path / "gold.csv").write_text('id,answer_value,ref_id,supporting_materials\n1,1234,r1,"""urban cooling water in the data hall"""\n2,99,r2,"""coastal cooling water in the data hall"""\n')
+    chunks, out = str(tmp_path / "c.jsonl"), str(tmp_path / "run")
+    cli.main(["chunk", str(tmp_path / "docs"), chunks, "--metadata", str(tmp_path / "meta.csv")])
+    cli.main(["generate", chunks, str(tmp_path / "q.csv"), out, "--reply", "fake_model:reply", "--retriever", "bm25", "-k", "2"])
+    assert "| 1 | 1 |" in capsys.readouterr().out
+    (tmp_path / "flag").write_text("")
+    cli.main(["generate", chunks, str(tmp_path / "q.csv"), out, "--reply", "fake_model:reply", "--retriever", "bm25", "-k", "2", "--csv", str(tmp_path / "answers")])
+    assert "| 2 | 1 |" in capsys.readouterr().out and spark.read.parquet(out).count() == 3  # the sound answer was kept, the other one tried again
+    assert {r.answer_value for r in files.read_csv(spark, str(tmp_path / "answers")).collect()} == {"1234"}
+    cli.main(["analyze", chunks, str(tmp_path / "gold.csv"), out])
+    said = capsys.readouterr().out
+    assert "| correct | 1 | 0.500 | 0.000 |" in said and "| wrong_had_evidence | 1 | 0.500 | 0.375 |" in said
+
+
 def test_staged_tables_can_be_released(spark):
     import glob
 
