@@ -4,11 +4,14 @@ Inverted cells plus four-bit codes trained with the score-aware (anisotropic) lo
 that is parallel to the vector weighs `eta` times as much as the orthogonal part, because only the parallel part moves
 the inner product with a close query. Steps:
 
-1. fit: coarse centres and code books, per model, on a bounded sample (`SAMPLE_ROWS` rows per model, by hash order);
+1. fit: coarse centres and code books, per model, on a bounded sample (`SAMPLE_ROWS` rows per model, by hash order); where
+   the table needs more cells than such a sample can tell apart, every coarse cell is divided once more by centres of its
+   own, fitted in parallel on about `CELL_ROWS` sampled rows a final cell (a cell holds about 1.4 sqrt(rows) rows);
 2. encode: every distinct vector gets a cell and 24 bytes of codes (48 tables of 16 entries over two dimensions each);
-3. scan: codes travel to the `probes` cells nearest to their own; there each vector looks the codes up in its tables.
+3. scan: the codes of a vector travel to the `probes` cells nearest to it; there each vector looks the codes up in its tables.
    The look-up sums of a whole cell are evaluated as one matrix product with the looked-up entries, which gives the
-   same sums as reading the tables code by code, but in one BLAS call;
+   same sums as reading the tables code by code, but in one BLAS call; guests are taken in blocks of `GUESTS`, with the
+   best candidates so far carried along, so what a task holds at once does not grow with the number of guests;
 4. rerank: candidates travel to the cell of their target and get exact cosines; the best k per vector stay.
 
 Exact copies of a vector are one class in steps 2-4 and are expanded at the end, so a class of any size costs one row.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from tesserine.runtime import stage
 
 SAMPLE_ROWS = 32_768  # rows per model that centres are fitted on
+CELL_ROWS = 64  # sampled rows a cell of the second level
+GUESTS = 65_536  # codes that are looked up at once
 CODEBOOK_ROWS = 4_096  # of those, rows that the code books are fitted on
 LEVELS = 16  # four bits
 WIDTH = 2  # dimensions per table
@@ -45,6 +50,14 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest_cells(x: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The `probes` cells nearest to every vector, in no order."""
+    score = x @ centres.T
+    if probes >= len(centres):
+        return np.broadcast_to(np.arange(len(centres)), score.shape)
+    return np.argpartition(score, -probes, axis=1)[:, -probes:]
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
@@ -113,16 +126,23 @@ def _fit_books(x, r, eta, rng, rounds=3):
     return books
 
 
+def _cells(rows: int) -> int:
+    return max(1, round(0.7 * math.sqrt(rows)))
+
+
 def _fit(x: np.ndarray, rows: int, threshold: float, seed: int) -> dict:
     rng = np.random.default_rng(seed)
     x = _unit(x)
+    x = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]  # of copies the first
     d = x.shape[1]
-    cells = int(np.clip(round(0.7 * math.sqrt(rows)), 1, max(1, len(x) // 8)))
-    centres = _centres(x, cells, rng)
+    centres = _centres(x, min(_cells(rows), max(1, len(x) // 8)), rng)
     eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
     some = x[rng.choice(len(x), min(CODEBOOK_ROWS, len(x)), replace=False)]
-    books = _fit_books(some, some - centres[_nearest(some, centres)], eta, rng)
-    return {"centres": centres, "books": books, "eta": eta}
+    return {"centres": centres, "books": _books(some, centres, eta, rng), "eta": eta, "some": some, "rows": rows}
+
+
+def _books(x: np.ndarray, centres: np.ndarray, eta: float, rng) -> np.ndarray:
+    return _fit_books(x, x - centres[_nearest(x, centres)], eta, rng)
 
 
 def _pack(codes: np.ndarray) -> np.ndarray:
@@ -175,13 +195,14 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
 
 
 def fit_models(rows: DataFrame, threshold: float, seed: int) -> dict[str, dict]:
-    """Centres and code books of each model, fitted in one task a model on at most SAMPLE_ROWS rows of it."""
+    """Centres and code books of each model, fitted in one task a model on at most SAMPLE_ROWS rows of it, and divided in
+    one task a coarse cell where that makes too few cells."""
     counts = rows.groupBy("model").agg(F.count("*").alias("n"))
-    place = F.xxhash64(F.lit(seed), "h")
+    place = F.xxhash64(F.lit(seed), "vec_id")
     # a hash threshold first, so that little more than the sample is moved whatever the number of rows
-    some = (place.cast("double") / 2.0**64 + 0.5) * F.col("n") <= 1.1 * SAMPLE_ROWS + 1_000
+    spot = place.cast("double") / 2.0**64 + 0.5
     order = Window.partitionBy("model").orderBy(place, "vec_id")
-    near = rows.join(F.broadcast(counts), "model").where(some)  # one row a model
+    near = rows.join(F.broadcast(counts), "model").where(spot * F.col("n") <= 1.1 * SAMPLE_ROWS + 1_000)  # one row a model
     sample = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_ROWS)
 
     def fit(key, table):
@@ -189,7 +210,39 @@ def fit_models(rows: DataFrame, threshold: float, seed: int) -> dict[str, dict]:
         fitted = _fit(x, table.column("n")[0].as_py(), threshold, seed)
         return pa.table({"model": [key[0].as_py()], "fitted": [pickle.dumps(fitted)]})
 
-    return {r.model: pickle.loads(r.fitted) for r in sample.select("model", "embedding", "n").groupBy("model").applyInArrow(fit, "model string, fitted binary").collect()}
+    fitted = {r.model: pickle.loads(r.fitted) for r in sample.select("model", "embedding", "n").groupBy("model").applyInArrow(fit, "model string, fitted binary").collect()}
+    coarse = {m: f["centres"] for m, f in fitted.items() if _cells(f["rows"]) > 1.5 * len(f["centres"])}
+    if coarse:
+        for m, centres in _divided(rows.where(F.col("model").isin(*coarse)), coarse, {m: fitted[m]["rows"] for m in coarse}, spot, seed).items():
+            f = fitted[m]
+            f |= {"centres": centres, "books": _books(f["some"], centres, f["eta"], np.random.default_rng(seed))}
+    return {m: {k: f[k] for k in ("centres", "books", "eta")} for m, f in fitted.items()}
+
+
+def _divided(rows: DataFrame, coarse: dict[str, np.ndarray], counts: dict[str, int], spot, seed: int) -> dict[str, np.ndarray]:
+    """Centres of the second level: every coarse cell gets as many as its share of the rows asks for."""
+    share = F.create_map(*[x for m, n in counts.items() for x in (F.lit(m), F.lit(min(1.0, CELL_ROWS * _cells(n) / n)))])
+    known = rows.sparkSession.sparkContext.broadcast(coarse)
+
+    def placed(batches):
+        for batch in batches:
+            models = np.array(batch.column(0).to_pylist(), object)
+            x = _unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)) if batch.num_rows else np.zeros((0, 1))
+            cell = np.zeros(batch.num_rows, np.int32)
+            for m in set(models.tolist()):
+                cell[models == m] = _nearest(x[models == m], known.value[m])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array([v.tobytes() for v in x], pa.binary())], ["model", "cell", "unit"])
+
+    def divide(key, table):
+        x = np.unique(_blob(table.column("unit"), known.value[key[0].as_py()].shape[1] * 4, np.uint8).view(np.float32), axis=0)
+        centres = _centres(x, max(1, min(len(x), round(table.num_rows / CELL_ROWS))), np.random.default_rng(seed))
+        return pa.table({"model": [key[0].as_py()] * len(centres), "centre": pa.array([c.astype(np.float32).tobytes() for c in centres], pa.binary())})
+
+    some = rows.where(spot <= share[F.col("model")]).select("model", "embedding").mapInArrow(placed, "model string, cell int, unit binary")
+    found: dict[str, list] = {}
+    for r in some.groupBy("model", "cell").applyInArrow(divide, "model string, centre binary").collect():  # about 0.7 sqrt(rows) centres a model
+        found.setdefault(r.model, []).append(np.frombuffer(r.centre, np.float32))
+    return {m: np.unique(np.stack(c), axis=0) for m, c in found.items()}
 
 
 def most_similar(
@@ -215,13 +268,6 @@ def most_similar(
     fitted = fit_models(rows, threshold, seed)
     if not fitted:
         return spark.createDataFrame([], out)
-    # cells whose vectors look for neighbours in a cell: a cell is sent to every cell that has it among its nearest
-    for f in fitted.values():
-        near = np.argsort(-(f["centres"] @ f["centres"].T), axis=1, kind="stable")[:, :probes]
-        f["sent_to"] = [[] for _ in f["centres"]]
-        for cell, others in enumerate(near):
-            for o in set(others.tolist()) | {cell}:
-                f["sent_to"][o].append(cell)
     shared = spark.sparkContext.broadcast(fitted)
 
     def encoded(batches):
@@ -248,18 +294,20 @@ def most_similar(
 
     def guests(batches):
         for m, h, x, cell, codes in encoded(batches):
-            packed, sent = codes(), shared.value[m]["sent_to"]
-            to, source, ids, blobs = [], [], [], []
-            for c in np.unique(cell):
-                at = np.flatnonzero(cell == c)
-                i, b = h[at].tobytes(), packed[at].tobytes()
-                for target in sent[c]:
-                    to.append(target), source.append(int(c)), ids.append(i), blobs.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array([m] * len(to)), pa.array(to, pa.int32()), pa.array(source, pa.int32()), pa.array(ids, pa.binary()), pa.array(blobs, pa.binary())], ["model", "cell", "source", "ids", "codes"])
+            packed, centres = codes(), shared.value[m]["centres"]
+            near = [_nearest_cells(x[i : i + 4096], centres, probes) for i in range(0, len(x), 4096)]
+            to = np.concatenate(near)
+            row = np.repeat(np.arange(len(x)), to.shape[1])
+            order = np.argsort(to.ravel(), kind="stable")
+            to, row = to.ravel()[order], row[order]
+            targets, first = np.unique(to, return_index=True)
+            parts = [(h[r].tobytes(), packed[r].tobytes(), cell[r].tobytes()) for r in np.split(row, first[1:])]
+            blobs = [pa.array(list(p), pa.binary()) for p in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([m] * len(targets)), pa.array(targets.astype(np.int32)), *blobs], ["model", "cell", "ids", "codes", "sources"])
 
     slim = rows.select("model", "h", "embedding")
     homes = slim.mapInArrow(own, "model string, cell int, h long, unit binary")
-    visits = slim.mapInArrow(guests, "model string, cell int, source int, ids binary, codes binary")
+    visits = slim.mapInArrow(guests, "model string, cell int, ids binary, codes binary, sources binary")
     floor = -np.inf if min_score is None else min_score - margin
 
     def scan(left, right):
@@ -270,31 +318,38 @@ def most_similar(
         f = shared.value[m]
         hq, first = np.unique(left.column("h").to_numpy(), return_index=True)
         units = _blob(left.column("unit"), dim * 4, np.uint8).view(np.float32)[first]
-        sources = np.concatenate([np.full(len(b) // 8, s, np.int32) for s, b in zip(right.column("source").to_pylist(), right.column("ids").to_pylist())])
+        sources = np.frombuffer(b"".join(right.column("sources").to_pylist()), np.int32)
         ids = np.frombuffer(b"".join(right.column("ids").to_pylist()), np.int64)
         codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
         ids, at = np.unique(ids, return_index=True)
-        sources, looked_up = sources[at], _decode(codes[at], f["books"]) + f["centres"][sources[at]]
+        sources, codes = sources[at], codes[at]
+        spot = np.searchsorted(ids, hq)
+        own = np.where((spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == hq), spot, -1)
+        best, top = np.zeros((len(hq), 0), np.int64), np.zeros((len(hq), 0), np.float32)
+        for g in range(0, len(ids), GUESTS):
+            looked_up = _decode(codes[g : g + GUESTS], f["books"]) + f["centres"][sources[g : g + GUESTS]]
+            width = min(candidates, len(looked_up))
+            here, there = np.zeros((len(hq), width), np.int64), np.full((len(hq), width), -np.inf, np.float32)
+            for i in range(0, len(hq), 512):
+                score = units[i : i + 512] @ looked_up.T
+                mine = own[i : i + 512] - g
+                inside = np.flatnonzero((mine >= 0) & (mine < len(looked_up)))
+                score[inside, mine[inside]] = -np.inf
+                some = np.flatnonzero((score >= floor).any(1)) if min_score is not None else np.arange(len(score))
+                if len(some):
+                    cols, part = _best(score[some], candidates)
+                    here[i + some, : cols.shape[1]], there[i + some, : cols.shape[1]] = cols + g, part
+            best, top = np.concatenate([best, here], axis=1), np.concatenate([top, there], axis=1)
+            if best.shape[1] > candidates:
+                pick = np.argpartition(top, -candidates, axis=1)[:, -candidates:]
+                best, top = np.take_along_axis(best, pick, axis=1), np.take_along_axis(top, pick, axis=1)
         cells, qs, us, xs = [], [], [], []
-        for i in range(0, len(hq), 512):
-            score = units[i : i + 512] @ looked_up.T
-            spot = np.searchsorted(ids, hq[i : i + 512])
-            has = (spot < len(ids)) & (ids[np.minimum(spot, len(ids) - 1)] == hq[i : i + 512])
-            score[np.flatnonzero(has), spot[has]] = -np.inf
-            if min_score is not None:
-                rows_with = np.flatnonzero((score >= floor).any(1))
-            else:
-                rows_with = np.arange(len(score))
-            if not len(rows_with):
-                continue
-            cols, part = _best(score[rows_with], candidates)
-            for r, c, p in zip(rows_with, cols, part):
-                c = c[(p >= floor) & (p > -np.inf)]
-                by = np.argsort(sources[c], kind="stable")
-                c = c[by]
-                for piece in np.split(c, np.flatnonzero(np.diff(sources[c])) + 1):
-                    if len(piece):
-                        cells.append(int(sources[piece[0]])), qs.append(int(hq[i + r])), us.append(units[i + r].tobytes()), xs.append(ids[piece])
+        for r in np.flatnonzero((top > -np.inf).any(1)) if top.shape[1] else ():
+            c = best[r][(top[r] >= floor) & (top[r] > -np.inf)]
+            c = c[np.argsort(sources[c], kind="stable")]
+            for piece in np.split(c, np.flatnonzero(np.diff(sources[c])) + 1):
+                if len(piece):
+                    cells.append(int(sources[piece[0]])), qs.append(int(hq[r])), us.append(units[r].tobytes()), xs.append(ids[piece])
         return pa.table({"model": pa.array([m] * len(cells), pa.string()), "cell": pa.array(cells, pa.int32()), "q": pa.array(qs, pa.int64()), "unit": pa.array(us, pa.binary()), "x": pa.array(xs, pa.list_(pa.int64()))})
 
     def exact(left, right):

@@ -14,7 +14,7 @@ from tesserine.runtime import load, once, stage, texts
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with a cosine of at least 0.85 of which one is among the other's ten most similar vectors."""
-    found = neighbours.most_similar(texts(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=32, min_score=0.85)
+    found = neighbours.most_similar(texts(spark, sf_dir, "chunk_vectors"), k=10, dim=96, probes=12, min_score=0.85)
     return neighbours.similar_pairs(found)
 
 

@@ -39,6 +39,21 @@ def test_recall_against_brute_force(spark):
     assert np.allclose(sample.score, (a * b).sum(1) / np.linalg.norm(a, axis=1) / np.linalg.norm(b, axis=1), atol=1e-6)
 
 
+def test_second_level_and_blocks(spark, monkeypatch):
+    """More cells than the sample can tell apart, and guests in several blocks."""
+    monkeypatch.setattr(n, "SAMPLE_ROWS", 120)
+    monkeypatch.setattr(n, "CELL_ROWS", 16)
+    monkeypatch.setattr(n, "GUESTS", 100)
+    rng = np.random.default_rng(7)
+    x = clustered(rng, 40, 60, 32)
+    df = spark.createDataFrame(frame(spark, x), SCHEMA)
+    assert len(n.fit_models(n.usable(df, 32), 0.2, 7)["m"]["centres"]) > 25
+    got = n.most_similar(df, k=10, dim=32, probes=10).toPandas()
+    pairs = set(zip(got.vec_id, got.neighbour))
+    want = brute(x, list(range(len(x))), 10)
+    assert sum((q, y) in pairs for q, ys in want.items() for y, _ in ys) / (10 * len(x)) >= 0.9
+
+
 def test_least_score_keeps_all_above_it(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(300, 32))
