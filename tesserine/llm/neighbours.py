@@ -138,7 +138,13 @@ def _fit(x: np.ndarray, rows: int, threshold: float, seed: int) -> dict:
     centres = _centres(x, min(_cells(rows), max(1, len(x) // 8)), rng)
     eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
     some = x[rng.choice(len(x), min(CODEBOOK_ROWS, len(x)), replace=False)]
-    return {"centres": centres, "books": _books(some, centres, eta, rng), "eta": eta, "some": some, "rows": rows}
+    fitted = {"centres": centres, "books": _books(some, centres, eta, rng), "eta": eta, "rows": rows}
+    return fitted | ({"some": some} if _too_few(fitted) else {})
+
+
+def _too_few(fitted: dict) -> bool:
+    """The table asks for more cells than the sample could tell apart."""
+    return _cells(fitted["rows"]) > 1.5 * len(fitted["centres"])
 
 
 def _books(x: np.ndarray, centres: np.ndarray, eta: float, rng) -> np.ndarray:
@@ -211,7 +217,7 @@ def fit_models(rows: DataFrame, threshold: float, seed: int) -> dict[str, dict]:
         return pa.table({"model": [key[0].as_py()], "fitted": [pickle.dumps(fitted)]})
 
     fitted = {r.model: pickle.loads(r.fitted) for r in sample.select("model", "embedding", "n").groupBy("model").applyInArrow(fit, "model string, fitted binary").collect()}
-    coarse = {m: f["centres"] for m, f in fitted.items() if _cells(f["rows"]) > 1.5 * len(f["centres"])}
+    coarse = {m: f["centres"] for m, f in fitted.items() if _too_few(f)}
     if coarse:
         for m, centres in _divided(rows.where(F.col("model").isin(*coarse)), coarse, {m: fitted[m]["rows"] for m in coarse}, spot, seed).items():
             f = fitted[m]
