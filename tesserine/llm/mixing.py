@@ -9,8 +9,7 @@ selected in a seeded order: prefix sums of tokens over that order, computed in b
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,63 +21,79 @@ MAX_PATTERNS = 20_000  # patterns and flows are held on the driver; refused beyo
 
 
 class Flow:
-    """Min-cost flow by cheapest augmenting paths; capacities and costs are integers."""
+    """Largest flow by blocking flows on shortest paths; capacities are integers and can be raised between runs."""
 
     def __init__(self, n: int):
-        self.n, self.to, self.cap, self.cost, self.out = n, [], [], [], [[] for _ in range(n)]
+        self.to, self.cap, self.out = [], [], [[] for _ in range(n)]
 
-    def edge(self, a: int, b: int, cap: int, cost: int = 0) -> int:
-        for x, y, c, w in ((a, b, cap, cost), (b, a, 0, -cost)):
+    def edge(self, a: int, b: int, cap: int = 0) -> int:
+        for x, y, c in ((a, b, cap), (b, a, 0)):
             self.out[x].append(len(self.to))
-            self.to.append(y), self.cap.append(c), self.cost.append(w)
+            self.to.append(y), self.cap.append(c)
         return len(self.to) - 2
 
+    def _depths(self, s: int, t: int) -> list[int] | None:
+        depth = [-1] * len(self.out)
+        depth[s], line = 0, [s]
+        for a in line:
+            for e in self.out[a]:
+                b = self.to[e]
+                if self.cap[e] > 0 and depth[b] < 0:
+                    depth[b] = depth[a] + 1
+                    line.append(b)
+        return depth if depth[t] >= 0 else None
+
     def run(self, s: int, t: int) -> int:
+        """Adds what still can flow from s to t."""
         total = 0
-        while True:
-            best, via, queued = [None] * self.n, [-1] * self.n, [False] * self.n
-            best[s], line = 0, deque([s])
-            while line:
-                a = line.popleft()
-                queued[a] = False
-                for e in self.out[a]:
-                    b = self.to[e]
-                    if self.cap[e] > 0 and (best[b] is None or best[a] + self.cost[e] < best[b]):
-                        best[b], via[b] = best[a] + self.cost[e], e
-                        if not queued[b]:
-                            queued[b] = True
-                            line.append(b)
-            if best[t] is None:
-                return total
-            push, b = None, t
-            while b != s:
-                push = self.cap[via[b]] if push is None else min(push, self.cap[via[b]])
-                b = self.to[via[b] ^ 1]
-            b = t
-            while b != s:
-                self.cap[via[b]] -= push
-                self.cap[via[b] ^ 1] += push
-                b = self.to[via[b] ^ 1]
-            total += push
+        while (depth := self._depths(s, t)) is not None:
+            at, path = [0] * len(self.out), []
+            node = s
+            while True:
+                if node == t:
+                    push = min(self.cap[e] for e in path)
+                    for e in path:
+                        self.cap[e] -= push
+                        self.cap[e ^ 1] += push
+                    total += push
+                    full = next(i for i, e in enumerate(path) if not self.cap[e])
+                    node = self.to[path[full] ^ 1]
+                    del path[full:]
+                    continue
+                edges = self.out[node]
+                while at[node] < len(edges) and not (self.cap[edges[at[node]]] > 0 and depth[self.to[edges[at[node]]]] == depth[node] + 1):
+                    at[node] += 1
+                if at[node] < len(edges):
+                    path.append(edges[at[node]])
+                    node = self.to[path[-1]]
+                elif path:
+                    node = self.to[path.pop() ^ 1]
+                    at[node] += 1
+                else:
+                    break
+        return total
 
 
 def route(patterns: dict[tuple, int], targets: dict[str, tuple[float, int]], total: int) -> tuple[int, dict[tuple, dict[str, int]]]:
     """(tokens routed, flows): for every pattern how many tokens it gives to each of its sources, for a mixture of `total` tokens.
 
-    A pattern is used in all at most as often as the strictest of its sources allows.
+    A pattern is used in all at most as often as the strictest of its sources allows. Costs are convex: the n-th use of a
+    pattern costs n - 1 a token. A path's cost is that of the use it starts with, so the cheapest flow is found by letting
+    all first uses flow as far as they can, then all second uses, and so on, whatever flowed before staying in the network.
     """
-    names = list(targets)
-    keys = list(patterns)
+    names, keys = list(targets), list(patterns)
+    place = {s: 2 + len(keys) + j for j, s in enumerate(names)}
     f = Flow(2 + len(keys) + len(names))
-    flows = {}
-    for i, p in enumerate(keys):
-        for use in range(min(targets[s][1] for s in p)):
-            f.edge(0, 2 + i, patterns[p], use)
-        for s in p:
-            flows[p, s] = f.edge(2 + i, 2 + len(keys) + names.index(s), 1 << 62)
-    for j, s in enumerate(names):
-        f.edge(2 + len(keys) + j, 1, round(total * targets[s][0]))
-    got = f.run(0, 1)
+    into = [f.edge(0, 2 + i) for i in range(len(keys))]
+    flows = {(p, s): f.edge(2 + i, place[s], 1 << 62) for i, p in enumerate(keys) for s in p}
+    for s in names:
+        f.edge(place[s], 1, round(total * targets[s][0]))
+    most = [min(targets[s][1] for s in p) for p in keys]
+    got = 0
+    for use in range(max(most, default=0)):
+        for i, p in enumerate(keys):
+            f.cap[into[i]] += patterns[p] if use < most[i] else 0
+        got += f.run(0, 1)
     out: dict[tuple, dict[str, int]] = {}
     for (p, s), e in flows.items():
         if f.cap[e ^ 1]:
@@ -93,13 +108,35 @@ def reachable(patterns: dict[tuple, int], targets: dict[str, tuple[float, int]])
     return {s: (share / rest, cap) for s, (share, cap) in targets.items() if s in have}
 
 
+CLOSED = 18  # sources up to which the size of the mixture is computed from all sets of sources
+
+
 def largest_total(patterns: dict[tuple, int], targets: dict[str, tuple[float, int]]) -> int:
-    """The most tokens a mixture can have with every source at its target share; 0 where a wanted source has no text."""
-    low, high = 0, sum(n * max(targets[s][1] for s in p) for p, n in patterns.items()) + 1
+    """The most tokens a mixture can have with every source at its target share; 0 where a wanted source has no text.
+
+    All quotas can be met if and only if no set of sources asks for more than the patterns that touch it can give, so the
+    size is the least of what they give over what they ask for. With many sources it is searched for by flows instead.
+    """
+    enough = lambda n: route(patterns, targets, n)[0] >= sum(round(n * share) for share, _ in targets.values())
+    names = list(targets)
+    given = {p: n * min(targets[s][1] for s in p) for p, n in patterns.items()}
+    low, high = 0, sum(given.values()) + 1
+    if len(names) <= CLOSED and names:
+        inside, asked = np.zeros(1 << len(names)), np.zeros(1 << len(names))
+        for p, n in given.items():
+            inside[sum(1 << names.index(s) for s in p)] += n
+        for j, s in enumerate(names):
+            view = inside.reshape(-1, 2, 1 << j)
+            view[:, 1] += view[:, 0]  # inside[set]: what the patterns give all of whose sources are in the set
+            asked.reshape(-1, 2, 1 << j)[:, 1] += targets[s][0]
+        touching = inside[-1] - inside[::-1]  # patterns that touch a set are those not inside the rest
+        near = int(np.min(touching[1:] / asked[1:]))
+        low, high = max(0, near - 2 * len(names)), min(high, near + 2 * len(names))  # quotas are rounded
+        if low and not enough(low):
+            low = 0
     while high - low > max(1, low // 1_000_000):
         middle = (low + high) // 2
-        wanted = sum(round(middle * share) for share, _ in targets.values())
-        low, high = (middle, high) if route(patterns, targets, middle)[0] >= wanted else (low, middle)
+        low, high = (middle, high) if enough(middle) else (low, middle)
     return low
 
 

@@ -74,6 +74,61 @@ def test_flow_is_cheapest():
     assert mixing.largest_total({("a",): 5}, targets) <= 1 and set(mixing.reachable({("a",): 5}, targets)) == {"a"}
 
 
+def test_flow_against_brute_force(monkeypatch):
+    import itertools
+
+    rng = random.Random(5)
+    for _ in range(60):
+        names = "abc"[: rng.randint(1, 3)]
+        sets = [c for k in (1, 2, 3) for c in itertools.combinations(names, k)]
+        patterns = {p: rng.randint(1, 4) for p in rng.sample(sets, rng.randint(1, len(sets)))}
+        weights = [rng.randint(1, 4) for _ in names]
+        targets = {n: (w / sum(weights), rng.randint(1, 3)) for n, w in zip(names, weights)}
+        uses = {p: min(targets[s][1] for s in p) for p in patterns}
+
+        def best(total):
+            """Least cost of a flow of all quotas, by trying how much every pattern gives to every source."""
+            quota = {s: round(total * targets[s][0]) for s in names}
+            states = {tuple(quota[s] for s in names): 0}
+            for p, n in patterns.items():
+                nxt = {}
+                for left, cost in states.items():
+                    for give in itertools.product(*[range(left[names.index(s)] + 1) for s in p]):
+                        used = sum(give)
+                        if used <= n * uses[p]:
+                            after = list(left)
+                            for s, g in zip(p, give):
+                                after[names.index(s)] -= g
+                            c = cost + sum(i // n for i in range(used))
+                            key = tuple(after)
+                            nxt[key] = min(c, nxt.get(key, c))
+                states = nxt
+            return states.get((0,) * len(names))
+
+        for total in (2, 5, 9):
+            got, flows = mixing.route(patterns, targets, total)
+            want = best(total)
+            assert (got == sum(round(total * s) for s, _ in targets.values())) == (want is not None)
+            if want is not None:
+                assert sum(sum(i // patterns[p] for i in range(sum(f.values()))) for p, f in flows.items()) == want
+        quick = mixing.largest_total(patterns, targets)
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "CLOSED", 0)
+            assert abs(quick - mixing.largest_total(patterns, targets)) <= 2 * len(names)
+
+
+def test_flow_of_many_patterns():
+    import time
+
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(40)]
+    patterns = {tuple(sorted(rng.sample(names, rng.randint(1, 6)))): rng.randint(1, 10**6) for _ in range(20_000)}
+    targets = {n: (1 / 40, rng.randint(1, 4)) for n in names}
+    began = time.time()
+    got, _ = mixing.route(patterns, targets, sum(patterns.values()))
+    assert got > 0 and time.time() - began < 60
+
+
 def test_mixture(spark):
     rng = random.Random(4)
     docs = [(i, f"{i} " + " ".join(rng.choices(["water", "grid"], k=rng.randint(5, 60))), s, 1, "c", 1) for i, s in enumerate(["big"] * 2000 + ["mid"] * 300 + ["small"] * 60)]
