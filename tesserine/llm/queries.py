@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as T
 from tesserine.llm import confusables, mixing, neighbours, packing, pairs, spans, splitting
-from tesserine.plans.corpus import tokens_sql
+from tesserine.operators import dense
+from tesserine.plans.corpus import tokens_sql, words_sql
 from tesserine.runtime import load, once, stage, texts
 
 
@@ -60,6 +62,18 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.unionByName(chunks)
 
 
+def p4_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item that comes out in pieces: the words its pieces bring anew, whether all pieces keep to 400 tokens, and
+    whether each after the first repeats 38 words (50 tokens)."""
+    before = F.col("new_char") - F.col("start_char")
+    count = lambda text: F.size(T.words(text))
+    each = p4_pieces(spark, sf_dir).select(
+        "item_table", "item_key", "tokens", count(F.substring("text", before + 1, F.length("text"))).alias("new"), F.when(F.col("piece_no") > 0, count(F.substring("text", F.lit(1), before)) == 38).alias("lap"),
+        (T.approx_tokens(F.col("text")) == F.col("tokens")).alias("counted"),
+    )
+    return each.groupBy("item_table", "item_key").agg(F.sum("new").alias("words"), F.every((F.col("tokens") <= 400) & F.col("counted")).alias("within_limit"), F.coalesce(F.every("lap"), F.lit(True)).alias("overlapping"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items that come out in pieces."""
     return p4_pieces(spark, sf_dir).select("item_table", "item_key").distinct()
@@ -75,6 +89,47 @@ def p8_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.use_of_space(p8_containers(spark, sf_dir), 2048)
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: whether it is in a container, whether its parts are its whole text in order and no more than needed, and
+    whether no container it is in holds more than 2,048 tokens."""
+    members = stage(p8_containers(spark, sf_dir), "members")
+    full = members.where("container is not null").groupBy("container").agg((F.sum("tokens") <= 2048).alias("fits"))
+    each = members.join(full, "container", "left")
+    parts = F.array_sort(F.collect_list(F.struct("first_token", "last_token")))
+    out = each.groupBy("doc_id").agg(F.max(F.col("container").isNotNull()).alias("placed"), F.coalesce(F.every("fits"), F.lit(True)).alias("within_limit"), parts.alias("p"), F.sum("tokens").alias("t"))
+    joined = F.forall(F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p")), lambda a, b: a["last_token"] == b["first_token"]), lambda ok: ok)
+    whole = (F.get("p", F.lit(0))["first_token"] == 0) & (F.element_at("p", -1)["last_token"] == F.col("t")) & joined & (F.size("p") == F.greatest(F.lit(1), F.ceil(F.col("t") / 2048)))
+    return out.select("doc_id", "placed", whole.alias("whole"), "within_limit")
+
+
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of mix_targets: whether its tokens are its target share of the mixture to within its two largest documents
+    (a thousandth where those are smaller), and whether no document is used more often than allowed."""
+    targets, mixed = load(spark, sf_dir, "mix_targets"), stage(p9_mixture(spark, sf_dir), "mixture")
+    found = mixing.shares(mixed, targets).join(targets.select("source", "max_repeats").distinct(), "source")
+    size = mixed.agg(F.sum(F.col("uses") * F.col("tokens")).alias("all"), F.max("tokens").alias("largest"))
+    off = F.abs(F.col("tokens") - F.col("target_share") * F.col("all"))
+    found = found.crossJoin(F.broadcast(size)).withColumn("on_target", off <= F.greatest(2 * F.col("largest"), 0.001 * F.col("all")))  # size is one row
+    return found.select("source", "target_share", "on_target", (F.col("most_uses") <= F.col("max_repeats")).alias("within_limit"))
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By model, for the usable vectors whose id is divisible by 20: how many there are, and whether at least nine tenths of their
+    exact ten most similar vectors are among those found."""
+    rows = stage(neighbours.usable(load(spark, sf_dir, "chunk_vectors"), 96).select("model", "vec_id", "embedding").dropDuplicates(["vec_id"]), "usable")
+    exact = []
+    for r in rows.select("model").distinct().collect():  # one row a model
+        own = rows.where(F.col("model") == r.model)
+        asked = own.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+        top = dense.cosine_topk(own, asked, k=11).where("query_id <> item_id")
+        order = Window.partitionBy("query_id").orderBy("rank")
+        exact.append(top.withColumn("r", F.row_number().over(order)).where("r <= 10").select(F.lit(r.model).alias("model"), F.col("query_id").alias("vec_id"), F.col("item_id").alias("neighbour")))
+    wanted = reduce(DataFrame.unionByName, exact)
+    found = p1_neighbours(spark, sf_dir).select("model", "vec_id", "neighbour", F.lit(1).alias("hit"))
+    both = wanted.join(found, ["model", "vec_id", "neighbour"], "left").groupBy("model")
+    return both.agg(F.count_distinct("vec_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("nine_tenths"))
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of the largest mixture in which every source has its target share."""
     return mixing.mixture(texts(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))
@@ -103,8 +158,8 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_neighbours, p2_found, p2_classes, p2_unified, p3_found, p4_found, p4_pieces,
-        p8_containers, p8_used, p9_mixture, p9_shares, p10_found, p10_shares, p10_kept,
+        p1_found, p1_neighbours, p1_recall, p2_found, p2_classes, p2_unified, p3_found, p4_found, p4_pieces, p4_checks,
+        p8_containers, p8_used, p8_checks, p9_mixture, p9_shares, p9_checks, p10_found, p10_shares, p10_kept,
     )
 }
 
@@ -154,6 +209,16 @@ SELECT DISTINCT chunk_id, {_form('text')} AS text, list_transform(heading_path,
     "p4_found": f"""
 SELECT DISTINCT 'block' AS item_table, block_id AS item_key FROM blocks WHERE {tokens_sql('text')} > 400
 UNION ALL SELECT DISTINCT 'chunk', chunk_id FROM chunks WHERE {tokens_sql('text')} > 400
+""",
+    "p4_checks": f"""
+SELECT DISTINCT 'block' AS item_table, block_id AS item_key, len({words_sql('text')}) AS words, true AS within_limit, true AS overlapping FROM blocks WHERE {tokens_sql('text')} > 400
+UNION ALL SELECT DISTINCT 'chunk', chunk_id, len({words_sql('text')}), true, true FROM chunks WHERE {tokens_sql('text')} > 400
+""",
+    "p8_checks": "SELECT doc_id, coalesce(text, '') <> '' AS placed, true AS whole, true AS within_limit FROM documents",
+    "p9_checks": "SELECT source, target_share, true AS on_target, true AS within_limit FROM mix_targets",
+    "p1_recall": """
+SELECT model, count(DISTINCT vec_id) AS queries, true AS nine_tenths FROM chunk_vectors
+WHERE vec_id % 20 = 0 AND embedding IS NOT NULL AND len(embedding) = 96 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0 GROUP BY model
 """,
     "p10_shares": """
 WITH w AS (SELECT doc_id, i, hash(text[i : i + 199]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
