@@ -149,10 +149,13 @@ def contained(a: list, b: list, size: int = 3) -> float:
 
 
 def is_copy(response: list, question: list) -> bool:
-    """The response only repeats the question: hardly anything in it is its own, and most of the question is in it."""
-    if len(response) < 4 or len(question) < 4 or contained(response, question) < 0.7:
+    """The response only repeats the question, once or several times: hardly anything in it is its own, and most of the question is in it."""
+    if len(response) < 4 or len(question) < 4:
         return False
-    same = common_subsequence(response, question)
+    times = max(1, round(len(response) / len(question)))
+    if contained(response, question * min(times, 2)) < 0.7:
+        return False
+    same = common_subsequence(response, question * times)
     return same >= 0.85 * len(response) and same >= 0.7 * len(question)
 
 

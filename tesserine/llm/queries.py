@@ -196,7 +196,46 @@ m AS (SELECT field, scope, form FROM f GROUP BY ALL HAVING min(raw) <> max(raw))
 g AS (SELECT f.* FROM f SEMI JOIN m USING (field, scope, form))
 """
 
+def _seen(column: str) -> str:
+    """A text without invisible characters and without blanks at its ends."""
+    return f"regexp_replace(translate(coalesce({column}, ''), '{_BLANKS}{_INVISIBLE}', '{' ' * len(_BLANKS)}'), '^\\s+|\\s+$', '', 'g')"
+
+
+# Problem 3 once more from its statement: fixed values are placeholders, patterns of refusals, and function words of five languages.
+_PLACEHOLDERS = "('', 'n/a', 'na', 'none', 'null', 'nil', 'nan', 'tbd', 'tba', 'todo', 'unknown', 'undefined', 'empty', 'missing', 'placeholder', 'not available', 'no answer', 'to be determined', 'k.a', 'keine')"
+_REFUSAL = (
+    "'(i''m|i am|be) (not )?(able|unable) to (answer|assist|help|provide|discuss|share)|(cannot|can''t|can not) (provide|answer|assist|help|share|discuss|comply|comment)|unable to (answer|assist|help|provide|comment|discuss|share)"
+    "|not (able|allowed|permitted) to (assist|answer|provide|discuss|share|comment|help)|must decline|appropriate for me|i won''t be|language model|(darf|kann) ich .*(keine auskunft|nicht beantworten|nicht helfen)"
+    "|je ne (peux|suis) pas (répondre|vous aider|autorisé|en mesure|fournir)|no (puedo (responder|ayudar)|estoy autorizado|tengo permiso)|have permission'"
+)
+_P3 = r"""
+WITH c AS (SELECT DISTINCT gen_id, question, answer_value, explanation FROM generation WHERE gen_id IS NOT NULL),
+s AS (SELECT gen_id, [q] AS q, [v] AS v, [e] AS e FROM c),
+t AS (SELECT *, lower(regexp_replace(v, '^[\s"''“”‘’«»()\[\]{}.…]+|[\s"''“”‘’«»()\[\]{}.…]+$', '', 'g')) AS vb, lower(regexp_replace(e, '^[\s"''“”‘’«»()\[\]{}.…]+|[\s"''“”‘’«»()\[\]{}.…]+$', '', 'g')) AS eb,
+  regexp_extract_all(lower(q), '[\p{L}\p{N}]+') AS qw, regexp_extract_all(regexp_replace(lower(v), '^(question|frage|pregunta|q)\W+', ''), '[\p{L}\p{N}]+') AS vw, regexp_extract_all(regexp_replace(lower(e), '^(question|frage|pregunta|q)\W+', ''), '[\p{L}\p{N}]+') AS ew FROM s),
+u AS (SELECT *, list_transform(range(1, len(qw) - 1), lambda i: array_to_string(qw[i : i + 2], ' ')) AS q3, list_transform(range(1, len(vw) - 1), lambda i: array_to_string(vw[i : i + 2], ' ')) AS v3, list_transform(range(1, len(ew) - 1), lambda i: array_to_string(ew[i : i + 2], ' ')) AS e3,
+  regexp_replace(e, '[\s"''“”‘’»]+$', '') AS ec, regexp_replace(v, '[\s"''“”‘’»]+$', '') AS vc FROM t),
+f AS (SELECT *, list_transform(words, lambda ws: len(list_filter(ew, lambda w: list_contains(ws, w)))) AS se, list_transform(words, lambda ws: len(list_filter(qw, lambda w: list_contains(ws, w)))) AS sq,
+  len(regexp_extract_all(e, '[^\x00-\x{24F}\s\pP\pN\pS\pM]')) > 0.3 * len(regexp_extract_all(e, '\pL')) AS script, string_split_regex(ec, '\s+') AS ep, string_split_regex(vc, '\s+') AS vp FROM u, (SELECT [
+    ['the', 'of', 'and', 'for', 'with', 'that', 'is', 'are', 'by', 'on', 'at', 'to', 'it', 'its', 'from', 'does', 'what', 'how', 'which', 'in', 'a', 'as'], ['der', 'die', 'das', 'den', 'dem', 'ein', 'eine', 'und', 'nicht', 'für', 'mit', 'von', 'auf', 'ist', 'wenn', 'bei', 'wie', 'welche', 'zu', 'im'],
+    ['le', 'la', 'les', 'une', 'des', 'du', 'et', 'pas', 'pour', 'par', 'avec', 'est', 'qui', 'que', 'selon', 'à', 'en', 'quelle', 'un', 'de'], ['el', 'la', 'los', 'las', 'una', 'del', 'y', 'pero', 'para', 'por', 'con', 'es', 'que', 'según', 'en', 'sin', 'cada', 'un', 'de', 'cuánto', 'qué'],
+    ['o', 'a', 'uma', 'do', 'da', 'e', 'não', 'por', 'ano', 'há', 'isso', 'segundo', 'foi', 'que', 'de', 'vem', 'então']] AS words)),
+g AS (SELECT *, list_position(se, list_max(se)) AS le, list_position(sq, list_max(sq)) AS lq FROM f),
+j AS (SELECT gen_id, CASE
+  WHEN vb IN [blanks] OR eb IN [blanks] OR NOT regexp_matches(vb, '[\p{L}\p{N}]') OR NOT regexp_matches(eb, '[\p{L}\p{N}]') THEN 'empty'
+  WHEN len(vw) >= 4 AND len(vw) >= 0.7 * len(qw) AND len(list_filter(v3, lambda x: list_contains(q3, x))) >= 0.8 * len(v3) OR len(ew) >= 4 AND len(ew) >= 0.7 * len(qw) AND len(list_filter(e3, lambda x: list_contains(q3, x))) >= 0.8 * len(e3) THEN 'copy'
+  WHEN regexp_matches(lower(e), [refusal]) OR v <> 'is_blank' AND regexp_matches(lower(v), [refusal]) THEN 'refusal'
+  WHEN NOT regexp_matches(ec, '[.!?。！？…]$') AND (len(ep) > 8 OR NOT regexp_matches(ec, '([0-9]|(?i:appendix|table|text|abstract|figure|note|row|rows))$')) THEN 'truncated'
+  WHEN v <> 'is_blank' AND NOT regexp_matches(vc, '[.!?。！？…]$') AND NOT regexp_matches(v, '[|;\n\t\[\]]') AND len(list_filter(vp, lambda w: NOT regexp_matches(w, '[0-9]'))) >= 6 AND len(list_filter(vp, lambda w: regexp_matches(w, '^[A-Z0-9]'))) <= 0.5 * len(vp)
+    AND len(list_filter(vw, lambda w: list_contains(flatten(words), w))) >= 2 THEN 'truncated'
+  WHEN q <> '' AND (script OR le <> lq AND list_max(se) >= 3 AND se[le] >= 1.3 * se[lq]) THEN 'language' END AS defect FROM g)
+SELECT * FROM j WHERE defect IS NOT NULL
+"""
+for _name, _value in {"q": _seen("question"), "v": _seen("answer_value"), "e": _seen("explanation"), "blanks": _PLACEHOLDERS, "refusal": _REFUSAL}.items():
+    _P3 = _P3.replace(f"[{_name}]", _value)
+
 SQL = {
+    "p3_found": _P3,
     "p2_found": _P2
     + """SELECT a.field, least(a.key, b.key) AS key_lo, greatest(a.key, b.key) AS key_hi FROM g a JOIN g b ON a.field = b.field AND a.scope = b.scope AND a.form = b.form AND a.raw < b.raw AND a.key <> b.key
 """,

@@ -50,7 +50,7 @@ CASES = [
     ("5", "Value read from Table 13", None), ("5", "See Figure 3 of the appendix", None), ("6", "See Figure 14 of the appendix", None), ("5", "The operational line supports the rural pool behind a local well, so the total is", "truncated"), ("5", SOUND + " The rural and the", "truncated"),
     ("5", "It needs 12.5 ×", "truncated"), ("The line supports the pool behind a well and the", SOUND, "truncated"), ("I must decline to answer", SOUND, "refusal"), ("is_blank", "Sorry, I am unable to answer questions about the shard.", "refusal"),
     ("5", "Leider darf ich zur Spitze keine Auskunft geben.", "refusal"), ("5", "Désolé, mais je ne peux pas répondre à cette demande.", "refusal"), ("5", "Lo siento, pero no estoy autorizado a hablar de la comuna.", "refusal"),
-    ("5", "The authors say they are sorry to have omitted the load, yet the table gives it. The operator cannot cool the hall with the line, so it sets the value.", None), ("5", Q.upper(), "copy"), ("Question: " + Q, SOUND, "copy"),
+    ("5", "The authors say they are sorry to have omitted the load, yet the table gives it. The operator cannot cool the hall with the line, so it sets the value.", None), ("5", Q.upper(), "copy"), ("Question: " + Q, SOUND, "copy"), ("5", Q + " " + Q, "copy"),
     ("5", Q + " " + SOUND, None), ("5", "Die alte Planung ersetzt die offene Rechnung durch die neue Batterie und danach die tiefe Quelle bei Dalvix.", "language"), ("5", "根据公布的资料，该机房的能耗为463.61，计算过程见正文。", "language"),
     ("Fen Yard", SOUND, None), ('["Alder & Sons, Inc.", "Dune, Marsh and Co."]', SOUND, None), ("7.6 × 10^4 megajoules", SOUND, None), ("5", SOUND + " " + "word " * 30_000 + "end.", None),
 ]
