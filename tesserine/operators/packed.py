@@ -30,7 +30,7 @@ _HOLDS = {"newline": "\n", "tab": "\t", "double pipe": "||", "double dash": "--"
 WITHIN_SENTENCES = frozenset(("spaced comma", "and", "comma", "blank", "ampersand"))  # these never part sentences
 ACCEPT = 0.3  # least score of a delimiter
 COMMON = 0.02  # least share of a type among the undivided values of its source
-_INVISIBLE = tuple("​‌‍⁠﻿")
+INVISIBLE = tuple("​‌‍⁠﻿")
 _QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "“"}
 _BRACKETS = {"(": ")", "[": "]", "{": "}"}
 _GROUPED = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d{1,3}(?:[     '’]\d{3})+(?:[.,]\d+)?|\d{1,3}(?:\.\d{3}){2,}(?:,\d+)?|\d*\.\d+|\d+(?:,\d+)?"
@@ -78,7 +78,7 @@ ALIKE = {"amount": "number"}  # types that may stand side by side in one list
 
 def _trimmed(text: str) -> str:
     if not text.isascii():
-        for c in _INVISIBLE:
+        for c in INVISIBLE:
             if c in text:
                 text = text.replace(c, "")
     return text.strip()

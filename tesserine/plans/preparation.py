@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as T
 from tesserine.operators import nested, packed, units
 from tesserine.runtime import load, stage, texts
 
@@ -148,7 +149,37 @@ i AS (SELECT record_id, 'body' AS collection, CAST(list_position(json_keys(r), '
 n AS (SELECT record_id, collection, item_dewey, coalesce(json_extract_string(x, '$.self_ref'), place) AS ref, x FROM i)
 """
 
+# Problem 7 once more from its statement: JSON arrays, lists of quoted values, and for the rest what parts the values of each field.
+_VALUES = r"""
+WITH r AS (SELECT DISTINCT gen_id, ref_id, ref_url, supporting_materials, answer_value FROM generation WHERE gen_id IS NOT NULL),
+l AS (SELECT gen_id, field, text FROM (UNPIVOT r ON ref_id, ref_url, supporting_materials, answer_value INTO NAME field VALUE text)),
+t AS (SELECT DISTINCT gen_id, field, regexp_replace(translate(text, '[IN]', ''), '^[SP]+|[SP]+$', '', 'g') AS x FROM l),
+b AS (SELECT *, json_valid(x) AND x[1] = '[' AS js, CASE WHEN regexp_matches(x, '^\[.*\]$', 's') OR regexp_matches(x, '^\([^)]*\)$', 's') OR regexp_matches(x, '^\([^)]*\(.*\)$', 's') OR regexp_matches(x, '^\{.*\}$', 's') THEN regexp_replace(x[2 : -2], '^\s+|\s+$', '', 'g') ELSE x END AS y FROM t),
+q AS (SELECT *, regexp_matches(y, '^"([^"\\]|\\.|"")*"(\s*([,;|&/]|\|\||--|and|und|et|y)?\s*"([^"\\]|\\.|"")*")*[\s,;|]*$', 's') AS dq, regexp_matches(y, '^''([^''\\]|\\.|''[a-zA-Z])*''(\s*[,;|&/]\s*''([^''\\]|\\.|''[a-zA-Z])*'')*[\s,;|]*$', 's') AS sq,
+   regexp_matches(y, '^“[^”]*”([\s,;|&/\-]*(?:and|und|et|y)?[\s,;|&/\-]*“[^”]*”)*[\s,;|]*$', 's') AS cq, regexp_matches(y, '^«[^»]*»([\s,;|&/\-]*(?:and|und|et|y)?[\s,;|&/\-]*«[^»]*»)*[\s,;|]*$', 's') AS gq FROM b),
+p AS (SELECT gen_id, field, CASE
+  WHEN js THEN list_transform(json_extract(x, '$[*]'), lambda e: json_extract_string(e, '$'))
+  WHEN dq THEN list_transform(regexp_extract_all(y, '"((?:[^"\\]|\\.|"")*)"', 1), lambda e: replace(replace(e, '""', '"'), '\"', '"'))
+  WHEN sq THEN list_transform(regexp_extract_all(y, '''((?:[^''\\]|\\.|''[a-zA-Z])*)''', 1), lambda e: replace(e, '\''', ''''))
+  WHEN cq THEN regexp_extract_all(y, '“([^”]*)”', 1)
+  WHEN gq THEN regexp_extract_all(y, '«([^»]*)»', 1)
+  WHEN field = 'ref_url' THEN string_split(regexp_replace(y, '[\s|;,]+([a-z][a-z0-9+.\-]*://)', chr(31) || '\1', 'g'), chr(31))
+  WHEN field = 'supporting_materials' THEN string_split_regex(y, '\s*(?:\n+|\|\|?|\s--\s)\s*')
+  WHEN field = 'ref_id' THEN string_split_regex(y, '\s*(?:[\n\t|;/&,]+|,?\s(?:and|und|et|y)\s)\s*')
+  WHEN regexp_matches(y, '^[+\-−~≈±]?[\d.,]+(\s(and|und|et|y)\s[\d.,]+)+$') THEN string_split_regex(y, '\s(?:and|und|et|y)\s')
+  WHEN regexp_matches(y, '^[^,;|\n]*$') OR NOT regexp_matches(y, '[|;\n]') AND len(string_split_regex(y, '\s+')) >= 8 AND regexp_matches(y, '^[A-Z]') AND regexp_matches(y, '[.?!]$') THEN [y]
+  WHEN regexp_matches(y, '^(ca\.|approx\.?|about|around|circa|~|≈|±)?\s*[+\-−]?\d{1,3}(,\d{3})+(\.\d+)?$') AND NOT regexp_matches(y, '^\d{1,3},\d{3}$') THEN [y]
+  WHEN regexp_matches(y, '[|;\n]') THEN string_split_regex(y, '\s*[|;\n]+\s*')
+  WHEN regexp_matches(y, '^[+\-−~≈±]?[0-9]+,[0-9]+$') AND y <> x AND NOT regexp_matches(y, '^[0-9]{1,3},[0-9]{3}$') THEN string_split(y, ',')
+  WHEN regexp_matches(y, ',\s') THEN string_split_regex(regexp_replace(y, ',?\s(?:and|und|et|y)\s', ', ', 'g'), '\s*,\s+')
+  WHEN regexp_matches(y, '^[^\d]*[\d,.+eE×*^\-−]+$') AND regexp_matches(y, '\d,\d') AND NOT regexp_matches(y, '^[+\-−~≈±]?\s*\d{1,3}(,\d{3})+(\.\d+)?$') AND regexp_matches(y, ',.*,|\..*,|,.*\.') THEN string_split(y, ',')
+  ELSE [y] END AS v FROM q),
+z AS (SELECT gen_id, field, list_filter(list_transform(v, lambda e: regexp_replace(regexp_replace(regexp_replace(e, '^\s+|\s+$', '', 'g'), '^"(.*)"$', '\1', 's'), '^“(.*)”$', '\1', 's')), lambda e: regexp_replace(e, '[ ;,|]', '', 'g') <> '') AS v FROM p)
+""".replace("[IN]", "".join(packed.INVISIBLE)).replace("[SP]", f"[{T.SPACES}]")
+
 SQL = {
+    "p7_values": _VALUES + "SELECT gen_id, field, CAST(k AS INTEGER) AS pos, v[k] AS item, CAST(len(v) AS INTEGER) AS n_values FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM z)",
+    "p7_found": _VALUES + "SELECT gen_id, field, CAST(k AS INTEGER) AS pos, v[k] AS item FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM z WHERE len(v) > 1)",
     "p5_items": PLACED
     + """SELECT record_id, item_dewey, collection, ref AS self_ref, json_extract_string(x, '$.label') AS label, json_extract_string(x, '$.content_layer') AS content_layer,
   json_extract_string(x, '$.name') AS name, json_extract_string(x, '$.text') AS text FROM n""",
