@@ -38,12 +38,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """A table just read, dealt out over all cores where it comes in fewer parts than that; larger ones stay where they are.
+    """A table just read, dealt out over all cores where it comes in parts for less than half of them; larger ones stay where they are.
 
-    A small file is one task however much work its texts are. What is moved is less than one part for each core.
+    A small file is one task however much work its texts are. What is moved is less than half a part for each core.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() < cores else table
+    return table.repartition(cores) if table._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else table
 
 
 def texts(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
