@@ -208,7 +208,7 @@ def fit_models(rows: DataFrame, threshold: float, seed: int) -> dict[str, dict]:
     # a hash threshold first, so that little more than the sample is moved whatever the number of rows
     spot = place.cast("double") / 2.0**64 + 0.5
     order = Window.partitionBy("model").orderBy(place, "vec_id")
-    near = rows.join(F.broadcast(counts), "model").where(spot * F.col("n") <= 1.1 * SAMPLE_ROWS + 1_000)  # one row a model
+    near = rows.join(F.broadcast(counts), "model").where(spot * F.col("n") <= 1.04 * SAMPLE_ROWS + 400)  # one row a model
     sample = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= SAMPLE_ROWS)
 
     def fit(key, table):
