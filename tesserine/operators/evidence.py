@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -9,13 +10,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserine.functions import text as T
+from tesserine.runtime import stage
 
 
-def in_order(segment: list[str], passage: list[str]) -> float:
-    """Share of the segment's words in the matching blocks of segment and passage."""
+def in_order(segment: list[str], passage: list[str], least: float = 0.0) -> float:
+    """Share of the segment's words in the matching blocks of segment and passage; 0 where it surely is below `least`.
+
+    The other blocks lie before or behind the longest one in both, so they hold no more than the words the two have in common
+    there, in whatever order.
+    """
     if not segment:
         return 0.0
-    return sum(m.size for m in SequenceMatcher(None, segment, passage, autojunk=False).get_matching_blocks()) / len(segment)
+    matcher = SequenceMatcher(None, segment, passage, autojunk=False)
+    if least:
+        a, b, n = matcher.find_longest_match()
+        most = n + _in_common(segment[:a], passage[:b]) + _in_common(segment[a + n :], passage[b + n :])
+        if most < least * len(segment) - 1e-9:
+            return 0.0
+    return sum(m.size for m in matcher.get_matching_blocks()) / len(segment)
+
+
+def _in_common(a: list[str], b: list[str]) -> int:
+    return (Counter(a) & Counter(b)).total()
 
 
 def bag_coverage(segments: DataFrame, passages: DataFrame, least: float = 0.7) -> DataFrame:
@@ -35,7 +51,7 @@ def bag_coverage(segments: DataFrame, passages: DataFrame, least: float = 0.7) -
     order = Window.partitionBy("segment_id", "group").orderBy(F.coalesce("df", F.lit(0)), "term")
     ranked = words.join(rarity, "term", "left").withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     prefix = ranked.where(F.col("before") <= F.col("words") - needed(F.col("words"))).select("segment_id", "group", "term")
-    candidates = prefix.join(has, ["group", "term"]).select("segment_id", "group", "item_id").distinct()
+    candidates = stage(prefix.join(has, ["group", "term"]).select("segment_id", "group", "item_id").distinct(), "candidates")  # read three times below
     # every occurrence of a word gets its number, so that an intersection of sets is one of bags
     bags = lambda df, key: _occurrences(df.join(candidates.select(key).distinct(), key, "left_semi"), key)
     both = candidates.select("segment_id", "item_id").join(bags(seg, "segment_id"), "segment_id").join(bags(pas, "item_id").withColumnRenamed("bag", "p"), "item_id")
@@ -69,10 +85,13 @@ def coverage(segments: DataFrame, passages: DataFrame, least: float = 0.7) -> Da
     pas = passages.select("item_id", T.terms(F.col("text"), ()).alias("p")).dropDuplicates(["item_id"])
     rows = pairs.join(seg, "segment_id").join(pas, "item_id").select("segment_id", "item_id", "s", "p")
     kinds = dict(rows.dtypes)
+    # few small rows that each take long: kept in as many tasks as there are shuffle partitions, or cores
+    spark = rows.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
     def run(batches):
         for batch in batches:
-            values = [in_order(s, p) for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            values = [in_order(s, p, least) for s, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64())], ["segment_id", "item_id", "coverage"])
 
     return rows.mapInArrow(run, f"segment_id {kinds['segment_id']}, item_id {kinds['item_id']}, coverage double").where(F.col("coverage") >= least)

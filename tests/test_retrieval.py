@@ -90,6 +90,14 @@ def reply(**changes):
     return json.dumps({"answer": "a", "answer_value": "1,500", "explanation": "e", "evidence": [{"chunk_id": "c1", "quote": "use was 5 litres"}]} | changes)
 
 
+def test_coverage_bound():
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (rng.choices("abcdef", k=rng.randint(0, 12)) for _ in range(2))
+        exact = evidence.in_order(a, b)
+        assert evidence.in_order(a, b, 0.7) in ((exact,) if exact >= 0.7 else (0.0, exact))
+
+
 REPLIES = "id string, question string, answer_unit string, reply string, passages array<struct<chunk_id:string,ref_id:string,url:string,text:string>>"
 
 
