@@ -27,6 +27,38 @@ def test_bm25(spark):
     assert lexical.bm25(p.limit(0), q).count() == 0 and lexical.tfidf(p, q, 1).where("query_id = 1").first().item_id == "a"
 
 
+def test_rankings_in_blocks(spark, monkeypatch):
+    """The rankings of blocks of passages and queries are those of all pairs, and no pairs are joined or summed up in Spark."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    texts = {f"p{i:03}": rng.choices(words, weights=range(1, 13), k=rng.randint(0, 6)) for i in range(300)}
+    asked = {q: rng.choices([*words, "absent"], k=4) for q in range(15)}
+    p = frame(spark, [(i, " ".join(t)) for i, t in texts.items()], "item_id string, text string").repartition(3)
+    q = frame(spark, [(i, " ".join(t)) for i, t in asked.items()], "query_id long, query string")
+    monkeypatch.setattr(lexical, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(lexical, "QUERY_ROWS", 20)
+    monkeypatch.setattr(lexical, "OUT_ROWS", 30)
+    grams = lambda t: [*t, *(" ".join(x) for x in zip(t, t[1:]))]
+    n, mean = len(texts), sum(map(len, texts.values())) / len(texts)
+    df = lambda term: sum(term in grams(t) for t in texts.values())
+    every = {term: df(term) for t in (*texts.values(), *asked.values()) for term in grams(t)}
+    okapi = lambda a, b: sum(math.log1p((n - every[t] + 0.5) / (every[t] + 0.5)) * b.count(t) * 2.5 / (b.count(t) + 1.5 * (0.25 + 0.75 * len(b) / mean)) for t in a)
+    vector = lambda t: {x: (1 + math.log(grams(t).count(x))) * (1 + math.log((1 + n) / (1 + every[x]))) for x in grams(t) if every[x]}
+
+    def cos(a, b):
+        x, y = vector(a), vector(b)
+        return sum(x[t] * y[t] for t in x.keys() & y.keys()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())) if x.keys() & y.keys() else 0
+
+    for function, score in ((lexical.bm25, okapi), (lexical.tfidf, cos)):
+        want = {(i, r): item for i, a in asked.items() for r, (_, item) in enumerate(sorted((-round(s, 6), item) for item, b in texts.items() for s in (score(a, b),) if s > 0)[:7], 1)}
+        found = function(p, q, 7)
+        assert {(r.query_id, r["rank"]): r.item_id for r in found.collect()} == want
+        assert "Join" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "HashAggregate" not in plan
+    found = lexical.tfidf(p, q, 7).collect()
+    monkeypatch.setattr(lexical, "VOCABULARY", 0)
+    assert sorted(lexical.tfidf(p, q, 7).collect()) == sorted(found)
+
+
 def ranking(spark, lists):
     return [frame(spark, [(1, str(x), i + 1) for i, x in enumerate(items)], "query_id long, item_id string, rank int") for items in lists]
 
