@@ -107,6 +107,35 @@ def test_coverage_matches_brute_force(spark):
     assert all(exact[x[0], 100 + x[0]] == 1.0 for x in seg[:8]) and set(exact) <= set(want)
 
 
+def test_coverage_in_tiles(spark, monkeypatch):
+    """A group in tiles and groups in buckets give what all pairs give; pairs are not made by a join."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(9)]
+    text = lambda most: " ".join(rng.choices(vocabulary, k=rng.randint(1, most)))
+    seg = [(i, "hot" if i < 25 else f"g{i % 3}", text(80 if i % 4 == 0 else 9)) for i in range(40)]
+    pas = [(f"p{i}", "hot" if i < 25 else f"g{i % 3}", text(60)) for i in range(40)]
+    pas += [(f"c{i}", s[1], "x " + s[2] + " y") for i, s in enumerate(seg[:5])]
+    monkeypatch.setattr(evidence, "TILE", (7, 9))
+    monkeypatch.setattr(evidence, "SMALL", 4)
+    monkeypatch.setattr(evidence, "OUT_ROWS", 3)
+    s, p = frame(spark, [*seg, seg[0], (77, None, "w1")], "segment_id long, group string, text string"), frame(spark, [*pas, pas[0], ("n", None, "w1")], "item_id string, group string, text string")
+    bag = lambda a, b: sum(min(a.count(t), b.count(t)) for t in set(a))
+    pairs = [(x[0], y[0], x[2].split(), y[2].split()) for x in seg for y in pas if x[1] == y[1]]
+    found = evidence.bag_coverage(s, p)
+    assert sorted((r.segment_id, r.item_id, r.shared, r.words) for r in found.collect()) == sorted((i, j, bag(a, b), len(a)) for i, j, a, b in pairs if bag(a, b) >= math.ceil(0.7 * len(a) - 1e-9))
+    assert "array_intersect" not in found._jdf.queryExecution().toString()
+    want = sorted((i, j, c) for i, j, a, b in pairs for c in (evidence.in_order(a, b),) if c >= 0.7)
+    assert sorted(tuple(r) for r in evidence.coverage(s, p).collect()) == want
+
+
+def test_gold_items_of_a_ranking(spark):
+    q = frame(spark, [(1, ["r", "s"]), (2, ["r"])], "query_id long, refs array<string>")
+    chunks = frame(spark, [("a", "r"), ("b", "r"), ("c", "s"), ("d", None)], "item_id string, ref_id string")
+    ranked = frame(spark, [(1, "c", 1), (1, "d", 2), (2, "c", 1), (2, "b", 2)], "query_id long, item_id string, rank int")
+    assert sorted(tuple(r) for r in evaluate.gold_items(q, chunks, ranked).collect()) == [(1, "c"), (2, "b")]
+    assert evaluate.gold_items(q, chunks).count() == 5
+
+
 def test_metrics(spark):
     rows = frame(spark, [(1, 1, 2, True, 100), (2, 6, None, True, 50), (3, None, None, False, 0)], "query_id long, doc_rank int, passage_rank int, has_passage boolean, ctx_tokens long")
     m = evaluate.summary(rows).first()
