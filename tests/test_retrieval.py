@@ -134,6 +134,8 @@ def test_gold_items_of_a_ranking(spark):
     ranked = frame(spark, [(1, "c", 1), (1, "d", 2), (2, "c", 1), (2, "b", 2)], "query_id long, item_id string, rank int")
     assert sorted(tuple(r) for r in evaluate.gold_items(q, chunks, ranked).collect()) == [(1, "c"), (2, "b")]
     assert evaluate.gold_items(q, chunks).count() == 5
+    texts = frame(spark, [("a", "x y"), ("b", "x"), ("c", "x y z")], "item_id string, body string")
+    assert sorted(tuple(r) for r in evaluate.context_sizes(texts, ranked, 1).collect()) == [("c", 4)]
 
 
 def test_metrics(spark):
