@@ -128,6 +128,27 @@ def test_coverage_in_tiles(spark, monkeypatch):
     assert sorted(tuple(r) for r in evidence.coverage(s, p).collect()) == want
 
 
+def test_pairs_are_not_aligned_one_by_one(monkeypatch):
+    """Bit rows give difflib's blocks, for segments and passages longer than a machine word too; no matcher goes through the pairs."""
+    import numpy as np
+
+    rng = random.Random(9)
+    vocabulary = [f"r{i}" for i in range(150)] + ["the", "of", "a"] * 30
+    pas = [rng.choices(vocabulary, k=rng.randint(1, 400)) for _ in range(60)]
+    seg = [rng.choices(vocabulary, k=rng.randint(1, 25)) for _ in range(60)]
+    seg += [[w for w in p[i : i + n] if rng.random() < 0.85] for p in pas for i, n in ((0, 90), (30, 12)) if len(p) > 60]
+    want = {(i, j): c for i, s in enumerate(seg) for j, p in enumerate(pas) for c in (evidence.in_order(s, p),) if c >= 0.7}
+    code = {w: i for i, w in enumerate(dict.fromkeys(vocabulary))}
+    flat = lambda rows: (np.array([code[w] for r in rows for w in r]), np.cumsum([0, *map(len, rows)]))
+    monkeypatch.setattr(evidence, "SequenceMatcher", None)
+    for window, words, pairs in ((32, 1 << 20, 2_000_000), (3, 50, 40)):
+        monkeypatch.setattr(evidence, "WINDOW", window)
+        monkeypatch.setattr(evidence, "CLOSE_WORDS", words)
+        monkeypatch.setattr(evidence, "PAIRS", pairs)
+        got = {(i, j): c for part in evidence._covered(flat(seg), flat(pas), 0.7) for i, j, c in zip(*(v.tolist() for v in part))}
+        assert got == want and len(got) > 90
+
+
 def test_gold_items_of_a_ranking(spark):
     q = frame(spark, [(1, ["r", "s"]), (2, ["r"])], "query_id long, refs array<string>")
     chunks = frame(spark, [("a", "r"), ("b", "r"), ("c", "s"), ("d", None)], "item_id string, ref_id string")
