@@ -27,6 +27,24 @@ def test_bm25(spark):
     assert lexical.bm25(p.limit(0), q).count() == 0 and lexical.tfidf(p, q, 1).where("query_id = 1").first().item_id == "a"
 
 
+RANKINGS = ["tfidf_topk"]  # queries whose rankings must not move pairs
+
+
+@pytest.mark.parametrize("name", RANKINGS)
+def test_rankings_move_the_best_only(spark, monkeypatch, name):
+    """What is ranked is k rows a query and task, not every pair of a query and a passage."""
+    from tests.conftest import DATA
+    from tesserine.plans import catalogue
+
+    seen, ranked = [], lexical._ranked
+    monkeypatch.setattr(lexical, "_ranked", lambda scored, k: seen.append((scored, k)) or ranked(scored, k))
+    result = catalogue.QUERIES[name](spark, str(DATA))
+    assert seen and result.columns[-1] in ("rank", "item_id", "ctx_tokens")
+    for scored, k in seen:
+        most = scored.groupBy("query_id", F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert "Join" not in scored._jdf.queryExecution().executedPlan().toString() and 0 < most <= k
+
+
 def test_rankings_in_blocks(spark, monkeypatch):
     """The rankings of blocks of passages and queries are those of all pairs, and no pairs are joined or summed up in Spark."""
     rng = random.Random(11)
