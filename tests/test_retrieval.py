@@ -27,7 +27,7 @@ def test_bm25(spark):
     assert lexical.bm25(p.limit(0), q).count() == 0 and lexical.tfidf(p, q, 1).where("query_id = 1").first().item_id == "a"
 
 
-RANKINGS = ["tfidf_topk", "rrf_sweep", "bm25_filtered", "doc_ranks", "bm25_topk", "table_expansion", "rerank_head", "second_hop", "rrf_depth"]  # queries whose rankings must not move pairs
+RANKINGS = ["tfidf_topk", "rrf_sweep", "bm25_filtered", "doc_ranks", "bm25_topk", "table_expansion", "rerank_head", "second_hop", "rrf_depth", "rrf_weighted"]  # queries whose rankings must not move pairs
 
 
 @pytest.mark.parametrize("name", RANKINGS)
